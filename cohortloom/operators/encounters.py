@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.temporal import age_flag, whole_years
 from .joins import distinct_keys, null_columns
-from .ranking import dense_ranks
+from .ranking import block_of, rank_blocks, rank_in_block
 
 
 def encounter_index(
@@ -28,27 +28,28 @@ def encounter_index(
     stay are kept with NULLs and index 1; a stay without an id ranks after the others. ``stay_keys`` are the
     columns stays share with admissions (default: both keys). The stay id must be an integer.
 
-    The rank depends on the stays alone, so it is computed on their distinct ids before any join, and each outer join
-    is an inner join plus the keys without a partner (see ``joins``).
+    The rank depends on the stays alone, so their distinct ids are ranked before any join (see ``rank_blocks``), and
+    the parent join is an inner join plus the parents without a partner (see ``joins``).
     """
     on = list(stay_keys or [parent_key, admission_key])
-    columns = [parent_key, admission_key, stay_col, out]
     visits = admissions.select(parent_key, admission_key).join(parents.select(parent_key), parent_key, "inner")
     visits = visits.select(parent_key, admission_key)
 
     # A stay without an id orders after every other: the greatest integer stands in for it.
     order = F.coalesce(F.col(stay_col).cast("bigint"), F.lit((1 << 63) - 1))
-    stay_rows = stays.select(*on, stay_col, order.alias("_order"))
-    ranks = dense_ranks(stay_rows, on, "_order", out)
-    with_stay = stay_rows.join(ranks, [*on, "_order"], "inner").join(visits, on, "inner").select(*columns)
+    stay_rows = stays.select(*on, stay_col, order.alias("_order"), block_of(order).alias("_block"))
 
-    no_stay = visits.join(distinct_keys(stay_rows, on), on, "left_anti")
+    # The visits meet the ranked blocks (few rows per admission), and only then the stay rows themselves.
+    placed = visits.join(rank_blocks(stay_rows, on, "_order"), on, "left")
+    with_stay = stay_rows.join(placed.filter(F.col("_block").isNotNull()), [*on, "_block"], "inner")
     no_visit = parents.select(parent_key).join(distinct_keys(admissions, [parent_key]), parent_key, "left_anti")
+
+    no_stay_id = null_columns(stay_rows, [stay_col])
     first = F.lit(1).cast("bigint").alias(out)
-    return with_stay.unionByName(
-        no_stay.select(parent_key, admission_key, *null_columns(stay_rows, [stay_col]), first)
-    ).unionByName(
-        no_visit.select(parent_key, *null_columns(visits, [admission_key]), *null_columns(stay_rows, [stay_col]), first)
+    return (
+        with_stay.select(parent_key, admission_key, stay_col, rank_in_block(F.col("_order")).alias(out))
+        .unionByName(placed.filter(F.col("_block").isNull()).select(parent_key, admission_key, *no_stay_id, first))
+        .unionByName(no_visit.select(parent_key, *null_columns(visits, [admission_key]), *no_stay_id, first))
     )
 
 

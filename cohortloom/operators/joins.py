@@ -71,64 +71,83 @@ def classify_last_wins(
     code_col: str,
     classes: Mapping[str, Sequence],
     out: str,
+    flags: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Label each row of ``df`` with the class of its codes; of several classes the last listed one wins.
 
     One pass: the class number is an integer, so its maximum per key is combined before the shuffle and the label is
-    looked up afterwards. No code of any class gives NULL.
+    looked up afterwards. No code of any class gives NULL. ``flags`` are 0/1 columns of ``existence_flags`` to be
+    found in the same pass.
     """
+    flags = flags or {}
     labels = list(classes)
     number = F.lit(None).cast("int")
     for i, label in enumerate(labels):
         # Later classes are tested first: a code listed in two classes belongs to the later one.
         number = F.when(F.col(code_col).isin(list(classes[label])), i + 1).otherwise(number)
-    best = (
-        codes.select(*keys, number.alias("class_number"))
-        .filter(F.col("class_number").isNotNull())
-        .groupBy(*keys)
-        .agg(F.max("class_number").alias("class_number"))
+    marked = codes.select(
+        *keys,
+        number.alias("_class"),
+        *[F.when(predicate, 1).otherwise(0).alias(name) for name, predicate in flags.items()],
     )
-    label = F.get(F.array(*[F.lit(name) for name in labels]), F.col("class_number") - 1)
-    base = df.drop(out)
-    return base.join(best, list(keys), "left").select(*base.columns, label.alias(out))
+    relevant = reduce(or_, [F.col(name) == 1 for name in flags], F.col("_class").isNotNull())
+    best = marked.filter(relevant).groupBy(*keys).agg(*[F.max(name).alias(name) for name in ["_class", *flags]])
+    label = F.get(F.array(*[F.lit(name) for name in labels]), F.col("_class") - 1)
+    base = df.drop(out, *flags)
+    joined = base.join(best, list(keys), "left")
+    return joined.select(
+        *base.columns, *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in flags], label.alias(out)
+    )
+
 
+# Bucket widths of an interval join, in days. A window uses the narrowest that covers it with about 16 buckets.
+_WIDTHS = (1, 16, 256, 4096)
 
-def _day(ts: Column, days: int) -> Column:
-    return F.floor(F.unix_date(ts.cast("date")) / days)
+
+def _bucket(ts: Column, width: Column) -> Column:
+    """First day of the bucket that holds the timestamp."""
+    day = F.unix_date(ts.cast("date"))
+    return day - F.pmod(day, width)
 
 
 def _bucketed_matches(
-    windows: DataFrame, events: DataFrame, on: Sequence[str], ts: str, start: str, end: str, bucket_days: int
+    windows: DataFrame, events: DataFrame, on: Sequence[str], ts: str, start: str, end: str
 ) -> DataFrame:
     """All (window, event) rows with equal keys and start <= ts <= end.
 
-    Both sides also join on a day bucket: an event lies in one bucket, a window in each bucket it touches. A pair
-    therefore appears exactly once, only rows of the same days are compared, and a hot key is spread over its days.
+    Both sides also join on a time bucket. A window is placed in every bucket it touches, of a width that suits its
+    length; an event has one bucket of each width in use. A pair therefore appears exactly once, a hot key is spread
+    over its days, long windows do not multiply, and rows far apart in time are never compared.
     """
-    spans = windows.filter(F.col(start) <= F.col(end)).withColumn(
-        "_bucket", F.explode(F.sequence(_day(F.col(start), bucket_days), _day(F.col(end), bucket_days)))
+    days = F.unix_date(F.col(end).cast("date")) - F.unix_date(F.col(start).cast("date"))
+    width = F.lit(_WIDTHS[-1])
+    for narrower, wider in reversed(list(zip(_WIDTHS, _WIDTHS[1:]))):
+        width = F.when(days <= wider, narrower).otherwise(width)
+    sized = windows.filter(F.col(start) <= F.col(end)).withColumn("_width", width)
+    spans = sized.withColumn(
+        "_bucket",
+        F.explode(
+            F.sequence(_bucket(F.col(start), F.col("_width")), _bucket(F.col(end), F.col("_width")), F.col("_width"))
+        ),
+    )
+    # At most one row per width, so this side is always tiny; unused widths never reach the shuffle.
+    in_use = F.broadcast(sized.select("_width").distinct())
+    placed = (
+        events.filter(F.col(ts).isNotNull())
+        .withColumn("_width", F.explode(F.array(*[F.lit(days) for days in _WIDTHS])))
+        .join(in_use, "_width", "left_semi")
+        .withColumn("_bucket", _bucket(F.col(ts), F.col("_width")))
     )
-    placed = events.filter(F.col(ts).isNotNull()).withColumn("_bucket", _day(F.col(ts), bucket_days))
-    return placed.join(spans, [*on, "_bucket"], "inner").filter(F.col(ts).between(F.col(start), F.col(end)))
+    pairs = placed.join(spans, [*on, "_width", "_bucket"], "inner")
+    return pairs.filter(F.col(ts).between(F.col(start), F.col(end)))
 
 
 def interval_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    ts: str,
-    start: str,
-    end: str,
-    how: str = "left",
-    bucket_days: int = 1,
+    left: DataFrame, right: DataFrame, on: Sequence[str], ts: str, start: str, end: str, how: str = "left"
 ) -> DataFrame:
-    """left JOIN right ON equal keys AND right.ts BETWEEN left.start AND left.end (both ends closed).
-
-    ``bucket_days`` is the width of the join's time buckets: about the usual window length, so that a window falls
-    into few of them. It never changes the result.
-    """
+    """left JOIN right ON equal keys AND right.ts BETWEEN left.start AND left.end (both ends closed)."""
     extra = [name for name in right.columns if name not in on]
-    matched = _bucketed_matches(left, right, on, ts, start, end, bucket_days).select(*left.columns, *extra)
+    matched = _bucketed_matches(left, right, on, ts, start, end).select(*left.columns, *extra)
     if how == "inner":
         return matched
     if how != "left":
@@ -148,17 +167,19 @@ def interval_summary(
     end: str,
     aggregates: Mapping[str, Column],
     defaults: Mapping[str, Column] | None = None,
-    bucket_days: int = 1,
+    key: Sequence[str] | None = None,
 ) -> DataFrame:
     """Aggregates of the events inside each window, one output row per window row.
 
     Equal to a left interval join followed by a group-by, but the events are aggregated before they meet the wide
-    window rows. A window without events gets NULL, or the value in ``defaults``.
+    window rows. A window without events gets NULL, or the value in ``defaults``. ``key`` names columns that identify
+    a window; without it windows are told apart by ``on``, ``start`` and ``end``, which costs a distinct.
     """
-    window = [*on, start, end]
-    spans = distinct_keys(windows, window)
+    window = list(key or [*on, start, end])
+    spans = windows.select(*dict.fromkeys([*window, *on, start, end]))
+    spans = spans if key else distinct_keys(spans, window)
     summary = (
-        _bucketed_matches(spans, events, on, ts, start, end, bucket_days)
+        _bucketed_matches(spans, events, on, ts, start, end)
         .groupBy(*window)
         .agg(*[column.alias(name) for name, column in aggregates.items()])
     )

@@ -9,40 +9,53 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded_order
-from .joins import distinct_keys
 
 
-def dense_ranks(
-    df: DataFrame, keys: Sequence[str], order_col: str, out: str = "ind", block_bits: int = 16
-) -> DataFrame:
-    """(keys, value, DENSE_RANK() OVER (PARTITION BY keys ORDER BY value)) for an integer order column.
+BLOCK_BITS = 10
+
+
+def block_of(value: Column) -> Column:
+    """The block of 1024 consecutive integers a value lies in."""
+    return F.shiftright(value, BLOCK_BITS)
+
+
+def rank_blocks(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
+    """(keys, _block, _values, _before): the distinct values of each key by block, sorted, and how many come earlier.
 
-    Equal values share a rank, so only the distinct (keys, value) rows are ranked, in two levels: inside blocks of
-    2 ** ``block_bits`` consecutive values, and over the blocks of a key. The first window holds at most that many rows
-    of a key, the second one row per occupied block. Rows with a NULL key or value are left out.
+    DENSE_RANK() OVER (PARTITION BY keys ORDER BY order_col) of an integer value is ``_before`` plus its place in
+    ``_values``. A block has at most 1024 values however many rows the key has, the values are combined before the
+    shuffle, and the only window runs over blocks. Rows with a NULL key or value are left out.
     """
     keys = list(keys)
-    distinct = distinct_keys(df, [*keys, order_col])
-    inside = W.partitionBy(*keys, "_block").orderBy(order_col)
-    local = distinct.withColumn("_block", F.shiftright(F.col(order_col), block_bits)).withColumn(
-        "_rank", F.dense_rank().over(inside)
+    present = df.select(*keys, order_col)
+    for name in [*keys, order_col]:
+        present = present.filter(F.col(name).isNotNull())
+    blocks = present.groupBy(*keys, block_of(F.col(order_col)).alias("_block")).agg(
+        F.sort_array(F.collect_set(order_col)).alias("_values")
     )
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        local.groupBy(*keys, "_block")
-        .agg(F.max("_rank").alias("_size"))
-        .withColumn("_before", F.sum("_size").over(earlier))
-        .filter(F.col("_before") > 0)
-        .drop("_size")
-    )
-    rank = F.col("_rank") + F.coalesce("_before", F.lit(0))
-    return local.join(offsets, [*keys, "_block"], "left").select(*keys, order_col, rank.cast("bigint").alias(out))
+    before = F.coalesce(F.sum(F.size("_values")).over(earlier), F.lit(0)).cast("bigint")
+    return blocks.withColumn("_before", before)
+
+
+def rank_in_block(value: Column) -> Column:
+    """The dense rank of a value joined to its row of ``rank_blocks``."""
+    return F.col("_before") + F.array_position("_values", value)
+
+
+def with_dense_rank(df: DataFrame, keys: Sequence[str], order_col: str, out: str) -> DataFrame:
+    """Rows with the dense rank of their integer value within their key; NULL keys and values get no row."""
+    blocks = rank_blocks(df, keys, order_col)
+    rows = df.withColumn("_block", block_of(F.col(order_col)))
+    joined = rows.join(blocks, [*keys, "_block"], "inner")
+    return joined.select(*df.columns, rank_in_block(F.col(order_col)).alias(out))
 
 
 def with_ordinal(df: DataFrame, key: str, out: str = "ordinal") -> DataFrame:
     """Add the row's position (from 0) in the order of a unique integer key, without sorting everything in one task."""
-    numbered = dense_ranks(df.select(F.lit(0).alias("_all"), key), ["_all"], key, out, block_bits=20)
-    return df.join(numbered.select(key, (F.col(out) - 1).alias(out)), key, "inner")
+    everything = df.withColumn("_all", F.lit(0))
+    ranked = with_dense_rank(everything, ["_all"], key, "_rank")
+    return ranked.select(*df.columns, (F.col("_rank") - 1).alias(out))
 
 
 def top_k(

@@ -70,10 +70,14 @@ def sepsis_flags(admissions: DataFrame, diagnoses: DataFrame, procedures: DataFr
 
 def with_heart_failure(flags: DataFrame, diagnoses: DataFrame) -> DataFrame:
     """Add ``chd`` and ``chd_class``, matched on subject and admission."""
-    coded = diagnoses.filter(F.col("icd9_code").isin(fixed.HEART_FAILURE))
-    flagged = flag_exists(flags, coded, ADMISSION, "chd")
     return classify_last_wins(
-        flagged, diagnoses, ADMISSION, "icd9_code", fixed.HEART_FAILURE_CLASSES, "chd_class"
+        flags,
+        diagnoses,
+        ADMISSION,
+        "icd9_code",
+        fixed.HEART_FAILURE_CLASSES,
+        "chd_class",
+        flags={"chd": F.col("icd9_code").isin(fixed.HEART_FAILURE)},
     )
 
 
@@ -143,7 +147,14 @@ def code_status(
         mentions = mentions.filter(F.col("cmo") == 1)
     stays = icustays.select(*ADMISSION, "icustay_id", "intime", "outtime").distinct()
     timed = interval_summary(
-        stays, mentions, ["hadm_id"], "charttime", "intime", "outtime", {"_note_time": F.min("charttime")}
+        stays,
+        mentions,
+        ["hadm_id"],
+        "charttime",
+        "intime",
+        "outtime",
+        {"_note_time": F.min("charttime")},
+        key=["icustay_id"],
     )
     joined = timed.join(charts, "icustay_id", "left").join(discharge, "hadm_id", "left")
     names = list(fixed.CODE_STATUS_VALUES)

@@ -244,15 +244,13 @@ def interval_counts(spark: SparkSession, sf: str) -> DataFrame:
         "end_ts",
         {"n_errors": F.count(F.lit(1)), "first_error": F.min("ts")},
         {"n_errors": F.lit(0)},
-        bucket_days=4,
+        key=["user_id"],
     )
 
 
 def interval_rows(spark: SparkSession, sf: str) -> DataFrame:
     windows = _windows(spark, sf).withColumn("start_ts", F.col("end_ts") - F.expr("INTERVAL 12 HOURS"))
-    return interval_join(
-        windows, _of_type(spark, sf, "error"), ["user_id"], "ts", "start_ts", "end_ts", bucket_days=2
-    )
+    return interval_join(windows, _of_type(spark, sf, "error"), ["user_id"], "ts", "start_ts", "end_ts")
 
 
 def combined_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -266,7 +264,7 @@ def combined_status(spark: SparkSession, sf: str) -> DataFrame:
         "start_ts",
         "end_ts",
         {"window_purchase": F.min("ts")},
-        bucket_days=4,
+        key=["user_id"],
     )
     docs = load(spark, sf, "documents", [F.pmod("doc_id", F.lit(150)).alias("user_id"), "text"])
     noted = text_evidence(docs, ["user_id"], {"noted": occurs(F.col("text"), "[Ll]icen[cs]e")})
