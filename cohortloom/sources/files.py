@@ -48,12 +48,10 @@ def export_documents(df: DataFrame, path: str, id_col: str, text_col: str, one_f
 
 def read_exported_texts(spark: SparkSession, path: str, id_col: str) -> DataFrame:
     """Read one-file-per-document text back as (id, text); the id comes from the folder name."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    id_text = F.regexp_extract(F.input_file_name(), id_col + r"=([0-9]+)/", 1)
+    files = spark.read.text(path, wholetext=True)
     # The writer ends each file with one line break of its own.
-    return files.select(
-        id_text.try_cast("bigint").alias(id_col), F.regexp_replace("value", r"\n\z", "").alias("text")
-    )
+    text = F.regexp_replace("value", r"\n\z", "")
+    return files.select(F.col(id_col).cast("bigint").alias(id_col), text.alias("text"))
 
 
 def id_from_path(path: Column, suffix: str = ".txt") -> Column:
