@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.temporal import age_flag, whole_years
-from .joins import distinct_keys, null_columns
-from .ranking import block_of, rank_blocks, rank_in_block
+from .joins import distinct_keys, lookup_join, null_columns
+from .ranking import rank_blocks, repeat_rows
 
 
 def encounter_index(
@@ -29,7 +29,7 @@ def encounter_index(
     columns stays share with admissions (default: both keys). The stay id must be an integer.
 
     The rank depends on the stays alone, so their distinct ids are ranked before any join (see ``rank_blocks``), and
-    the parent join is an inner join plus the parents without a partner (see ``joins``).
+    each outer join is an inner join plus the keys without a partner (see ``joins``).
     """
     on = list(stay_keys or [parent_key, admission_key])
     visits = admissions.select(parent_key, admission_key).join(parents.select(parent_key), parent_key, "inner")
@@ -37,19 +37,26 @@ def encounter_index(
 
     # A stay without an id orders after every other: the greatest integer stands in for it.
     order = F.coalesce(F.col(stay_col).cast("bigint"), F.lit((1 << 63) - 1))
-    stay_rows = stays.select(*on, stay_col, order.alias("_order"), block_of(order).alias("_block"))
-
-    # The visits meet the ranked blocks (few rows per admission), and only then the stay rows themselves.
-    placed = visits.join(rank_blocks(stay_rows, on, "_order"), on, "left")
-    with_stay = stay_rows.join(placed.filter(F.col("_block").isNotNull()), [*on, "_block"], "inner")
+    # Copies of a stay row become a count before anything is shuffled, and are written out again at the end.
+    counted = stays.groupBy(*on, stay_col).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_order", order)
+    blocks = rank_blocks(counted, on, "_order", [stay_col, "_copies"])
+    ranked = visits.join(blocks, on, "inner").select(
+        parent_key, admission_key, "_before", F.posexplode("_values").alias("_place", "_stay")
+    )
+    rank = F.col("_before") + F.col("_place") + 1
+    with_stay = repeat_rows(
+        ranked.select(parent_key, admission_key, f"_stay.{stay_col}", rank.alias(out), "_stay._copies"),
+        "_copies",
+        [admission_key, stay_col],
+    )
+    # Every admission with a stay has exactly one block with nothing before it.
+    no_stay = visits.join(blocks.filter(F.col("_before") == 0).select(*on), on, "left_anti")
     no_visit = parents.select(parent_key).join(distinct_keys(admissions, [parent_key]), parent_key, "left_anti")
 
-    no_stay_id = null_columns(stay_rows, [stay_col])
+    no_stay_id = null_columns(stays, [stay_col])
     first = F.lit(1).cast("bigint").alias(out)
-    return (
-        with_stay.select(parent_key, admission_key, stay_col, rank_in_block(F.col("_order")).alias(out))
-        .unionByName(placed.filter(F.col("_block").isNull()).select(parent_key, admission_key, *no_stay_id, first))
-        .unionByName(no_visit.select(parent_key, *null_columns(visits, [admission_key]), *no_stay_id, first))
+    return with_stay.unionByName(no_stay.select(parent_key, admission_key, *no_stay_id, first)).unionByName(
+        no_visit.select(parent_key, *null_columns(visits, [admission_key]), *no_stay_id, first)
     )
 
 
@@ -80,8 +87,7 @@ def build_cohort(
 ) -> DataFrame:
     """First encounters of the flagged admissions, with the flag and admission columns.
 
-    The criteria cut both sides before they are joined.
+    The flags are cut by the criteria and meet their admissions first (one row each), then the index rows.
     """
-    first = index.filter(F.col(out) == 1)
-    chosen = flags.filter(criteria)
-    return first.join(chosen, list(on), "inner").join(admissions, list(on), "inner")
+    chosen = flags.filter(criteria).join(admissions, list(on), "inner")
+    return lookup_join(index.filter(F.col(out) == 1), chosen, on)

@@ -1,8 +1,12 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-Adaptive execution can split a hot key on either side of an inner join, but in a left outer join only on the left
-side. So wherever the many rows stand on the right, the outer join is written as an inner join plus the left rows
-that meet no key; the second part only needs the distinct keys, which are combined before they are shuffled.
+Adaptive execution splits a hot join key under two conditions, and the joins here are written to meet both.
+
+* The hot side may be either side of an inner join, but only the left of a left outer or semi join. Where the many
+  rows stand on the right, an outer join is written as an inner join plus the left rows that meet no key.
+* Both sides must reach the join straight from a shuffle. An aggregated side is already partitioned by the key and
+  would not be shuffled again, so it is grouped by the key and a hash of the key: the same groups, another
+  partitioning. The extra shuffle moves one small row per key.
 """
 
 from __future__ import annotations
@@ -11,16 +15,34 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 
+_SPREAD = "_spread"
+
+
+def group_for_join(df: DataFrame, keys: Sequence[str]) -> GroupedData:
+    """Group by the keys so that a later join on them gets its own shuffle; drop ``_spread`` after aggregating."""
+    return df.groupBy(*keys, F.xxhash64(*keys).alias(_SPREAD))
+
+
 def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The distinct non-null keys (NULL never joins)."""
+    """The distinct non-null keys (NULL never joins), for a join on them."""
     present = df.select(*keys)
     for key in keys:
         present = present.filter(F.col(key).isNotNull())
-    return present.distinct()
+    return group_for_join(present, keys).agg(F.lit(1).alias("_one")).select(*keys)
+
+
+def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join many rows to a lookup with few rows per key, whatever plan the lookup comes from.
+
+    The hash of the key joins along with the key, so both sides are shuffled for this join alone.
+    """
+    left = df.withColumn(_SPREAD, F.xxhash64(*on))
+    right = lookup.withColumn(_SPREAD, F.xxhash64(*on))
+    return left.join(right, [*on, _SPREAD], how).drop(_SPREAD)
 
 
 def null_columns(df: DataFrame, names: Sequence[str]) -> list[Column]:
@@ -51,10 +73,10 @@ def existence_flags(df: DataFrame, other: DataFrame, on: Sequence[str], flags: M
     """
     marked = other.select(*on, *[predicate.alias(name) for name, predicate in flags.items()])
     marked = marked.filter(reduce(or_, [F.col(name) for name in flags]))
-    found = marked.groupBy(*on).agg(
+    found = group_for_join(marked, on).agg(
         *[F.max(F.when(F.col(name), 1).otherwise(0)).alias(name) for name in flags]
     )
-    joined = df.join(found, list(on), "left")
+    joined = df.join(found.drop(_SPREAD), list(on), "left")
     return joined.select(*df.columns, *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in flags])
 
 
@@ -91,10 +113,12 @@ def classify_last_wins(
         *[F.when(predicate, 1).otherwise(0).alias(name) for name, predicate in flags.items()],
     )
     relevant = reduce(or_, [F.col(name) == 1 for name in flags], F.col("_class").isNotNull())
-    best = marked.filter(relevant).groupBy(*keys).agg(*[F.max(name).alias(name) for name in ["_class", *flags]])
+    best = group_for_join(marked.filter(relevant), keys).agg(
+        *[F.max(name).alias(name) for name in ["_class", *flags]]
+    )
     label = F.get(F.array(*[F.lit(name) for name in labels]), F.col("_class") - 1)
     base = df.drop(out, *flags)
-    joined = base.join(best, list(keys), "left")
+    joined = base.join(best.drop(_SPREAD), list(keys), "left")
     return joined.select(
         *base.columns, *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in flags], label.alias(out)
     )

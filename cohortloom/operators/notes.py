@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import as_flag
 from ..functions.text import contains_keyword
+from .joins import group_for_join
 
 
 def keyword_cohort(df: DataFrame, text_col: str, keywords: Sequence[str], literal: bool = True) -> DataFrame:
@@ -25,7 +26,8 @@ def text_evidence(
     """
     rows = df if prefilter is None else df.filter(prefilter)
     marked = rows.select(*keys, *[as_flag(rule).alias(name) for name, rule in rules.items()])
-    return marked.groupBy(*keys).agg(*[F.max(name).alias(name) for name in rules])
+    found = group_for_join(marked, keys).agg(*[F.max(name).alias(name) for name in rules])
+    return found.select(*keys, *rules)
 
 
 def frequency(df: DataFrame, label: Column, out: str = "label", ordered: bool = True) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import seeded_order
+from .joins import lookup_join
 
 
 BLOCK_BITS = 10
@@ -19,36 +20,56 @@ def block_of(value: Column) -> Column:
     return F.shiftright(value, BLOCK_BITS)
 
 
-def rank_blocks(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
+def rank_blocks(df: DataFrame, keys: Sequence[str], order_col: str, carry: Sequence[str] = ()) -> DataFrame:
     """(keys, _block, _values, _before): the distinct values of each key by block, sorted, and how many come earlier.
 
     DENSE_RANK() OVER (PARTITION BY keys ORDER BY order_col) of an integer value is ``_before`` plus its place in
-    ``_values``. A block has at most 1024 values however many rows the key has, the values are combined before the
-    shuffle, and the only window runs over blocks. Rows with a NULL key or value are left out.
+    ``_values``. A block has at most 1024 values however many rows the key has, and they are combined before the
+    shuffle. The only window runs over (key, block, count) rows. ``carry`` adds columns that depend on key and value.
+    Rows with a NULL key or value are left out.
     """
     keys = list(keys)
-    present = df.select(*keys, order_col)
+    present = df.select(*keys, order_col, *carry)
     for name in [*keys, order_col]:
         present = present.filter(F.col(name).isNotNull())
     blocks = present.groupBy(*keys, block_of(F.col(order_col)).alias("_block")).agg(
-        F.sort_array(F.collect_set(order_col)).alias("_values")
+        F.sort_array(F.collect_set(F.struct(F.col(order_col).alias("_value"), *carry))).alias("_values")
     )
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.size("_values")).over(earlier), F.lit(0)).cast("bigint")
-    return blocks.withColumn("_before", before)
-
-
-def rank_in_block(value: Column) -> Column:
-    """The dense rank of a value joined to its row of ``rank_blocks``."""
-    return F.col("_before") + F.array_position("_values", value)
+    # Most keys have one block only, so hardly any of these rows are left to join back.
+    offsets = (
+        blocks.select(*keys, "_block", F.size("_values").alias("_size"))
+        .withColumn("_before", F.sum("_size").over(earlier))
+        .filter(F.col("_before") > 0)
+        .drop("_size")
+    )
+    placed = blocks.join(offsets, [*keys, "_block"], "left")
+    return placed.select(*keys, "_block", "_values", F.coalesce("_before", F.lit(0)).cast("bigint").alias("_before"))
 
 
 def with_dense_rank(df: DataFrame, keys: Sequence[str], order_col: str, out: str) -> DataFrame:
     """Rows with the dense rank of their integer value within their key; NULL keys and values get no row."""
     blocks = rank_blocks(df, keys, order_col)
     rows = df.withColumn("_block", block_of(F.col(order_col)))
-    joined = rows.join(blocks, [*keys, "_block"], "inner")
-    return joined.select(*df.columns, rank_in_block(F.col(order_col)).alias(out))
+    joined = lookup_join(rows, blocks, [*keys, "_block"])
+    rank = F.col("_before") + F.array_position("_values._value", F.col(order_col))
+    return joined.select(*df.columns, rank.alias(out))
+
+
+def repeat_rows(df: DataFrame, count_col: str, spread_by: Sequence[str], chunk: int = 100_000) -> DataFrame:
+    """Each row ``count_col`` times, without that column.
+
+    A row with very many copies is cut into chunks that are spread over the tasks before they are written out.
+    """
+    n = F.col(count_col)
+    rest = [name for name in df.columns if name != count_col]
+    few = df.filter(n <= chunk).select(*rest, F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("_copy"))
+    chunks = df.filter(n > chunk).withColumn("_chunk", F.explode(F.sequence(F.lit(0), ((n - 1) / chunk).cast("int"))))
+    size = F.least(F.lit(chunk), n - F.col("_chunk").cast("bigint") * chunk).cast("int")
+    many = chunks.repartition(*spread_by, "_chunk").select(
+        *rest, F.explode(F.sequence(F.lit(1), size)).alias("_copy")
+    )
+    return few.unionByName(many).drop("_copy")
 
 
 def with_ordinal(df: DataFrame, key: str, out: str = "ordinal") -> DataFrame:

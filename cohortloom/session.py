@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,8 +31,7 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        unique = spark.sql("SELECT uuid()").first()[0]
-        return f"{shared.rstrip('/')}/{purpose}-{unique}"
+        return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix=f"{purpose}-")
