@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.temporal import age_flag, whole_years
-from .joins import distinct_keys, lookup_join, null_columns
-from .ranking import rank_blocks, repeat_rows
+from .joins import distinct_keys, hot_keys, lookup_join, null_columns, split_by_key
+from .ranking import dense_ranks, repeat_rows
 
 
 def encounter_index(
@@ -21,6 +22,7 @@ def encounter_index(
     stay_col: str,
     stay_keys: Sequence[str] | None = None,
     out: str = "ind",
+    hot_floor: int = 100_000,
 ) -> DataFrame:
     """parents LEFT JOIN admissions LEFT JOIN stays, with the dense rank of the stay within its admission.
 
@@ -28,36 +30,32 @@ def encounter_index(
     stay are kept with NULLs and index 1; a stay without an id ranks after the others. ``stay_keys`` are the
     columns stays share with admissions (default: both keys). The stay id must be an integer.
 
-    The rank depends on the stays alone, so their distinct ids are ranked before any join (see ``rank_blocks``), and
-    each outer join is an inner join plus the keys without a partner (see ``joins``).
+    Admissions with very many stay rows (see ``hot_keys``) are ranked in blocks, all others by one window whose
+    groups are known to be small. Parents are joined as an inner join plus the parents without a partner.
     """
     on = list(stay_keys or [parent_key, admission_key])
+    columns = [parent_key, admission_key, stay_col, out]
     visits = admissions.select(parent_key, admission_key).join(parents.select(parent_key), parent_key, "inner")
-    visits = visits.select(parent_key, admission_key)
+    stay_rows = stays.select(*on, stay_col)
+    hot = hot_keys(stay_rows, on, hot_floor)
+    usual_visits, heavy_visits = split_by_key(visits, on, hot)
+    usual_stays, heavy_stays = split_by_key(stay_rows, on, hot)
 
-    # A stay without an id orders after every other: the greatest integer stands in for it.
+    window = W.partitionBy(*on).orderBy(F.col(stay_col).asc_nulls_last())
+    ranked = usual_stays.withColumn(out, F.dense_rank().over(window).cast("bigint"))
+    usual = usual_visits.join(ranked, on, "left").withColumn(out, F.coalesce(F.col(out), F.lit(1)))
+
+    # Copies of a stay row become a count before they are shuffled, and are written out again at the end. A stay
+    # without an id orders after every other: the greatest integer stands in for it.
     order = F.coalesce(F.col(stay_col).cast("bigint"), F.lit((1 << 63) - 1))
-    # Copies of a stay row become a count before anything is shuffled, and are written out again at the end.
-    counted = stays.groupBy(*on, stay_col).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_order", order)
-    blocks = rank_blocks(counted, on, "_order", [stay_col, "_copies"])
-    ranked = visits.join(blocks, on, "inner").select(
-        parent_key, admission_key, "_before", F.posexplode("_values").alias("_place", "_stay")
-    )
-    rank = F.col("_before") + F.col("_place") + 1
-    with_stay = repeat_rows(
-        ranked.select(parent_key, admission_key, f"_stay.{stay_col}", rank.alias(out), "_stay._copies"),
-        "_copies",
-        [admission_key, stay_col],
-    )
-    # Every admission with a stay has exactly one block with nothing before it.
-    no_stay = visits.join(blocks.filter(F.col("_before") == 0).select(*on), on, "left_anti")
-    no_visit = parents.select(parent_key).join(distinct_keys(admissions, [parent_key]), parent_key, "left_anti")
+    counted = heavy_stays.groupBy(*on, stay_col).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_order", order)
+    heavy = dense_ranks(counted, on, "_order", out).join(heavy_visits, on, "inner")
+    heavy = repeat_rows(heavy.select(*columns, "_copies"), "_copies", [admission_key, stay_col])
 
-    no_stay_id = null_columns(stays, [stay_col])
-    first = F.lit(1).cast("bigint").alias(out)
-    return with_stay.unionByName(no_stay.select(parent_key, admission_key, *no_stay_id, first)).unionByName(
-        no_visit.select(parent_key, *null_columns(visits, [admission_key]), *no_stay_id, first)
-    )
+    no_visit = parents.select(parent_key).join(distinct_keys(admissions, [parent_key]), parent_key, "left_anti")
+    absent = [*null_columns(visits, [admission_key]), *null_columns(stays, [stay_col])]
+    alone = no_visit.select(parent_key, *absent, F.lit(1).cast("bigint").alias(out))
+    return usual.select(*columns).unionByName(heavy).unionByName(alone)
 
 
 def age_flags(

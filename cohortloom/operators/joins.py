@@ -45,6 +45,28 @@ def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str =
     return left.join(right, [*on, _SPREAD], how).drop(_SPREAD)
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], floor: int = 100_000) -> DataFrame:
+    """(_key): hashes of the keys that hold more than a thousandth of all rows, and more than ``floor`` rows.
+
+    At most 1000 keys can hold that share, so the result may be broadcast. It comes from a frequent-items sketch of
+    10,000 entries: one pass without a shuffle, whose error is well below that share, so no such key is missed.
+    """
+    item = F.xxhash64(*keys)
+    sketch = df.agg(
+        F.call_function("approx_top_k", item, F.lit(1000), F.lit(10_000)).alias("_items"),
+        F.count(F.lit(1)).alias("_rows"),
+    )
+    found = sketch.select("_rows", F.inline("_items").alias("_key", "_count"))
+    return found.filter((F.col("_count") > floor) & (F.col("_count") * 1000 > F.col("_rows"))).select("_key")
+
+
+def split_by_key(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key is not in ``hot_keys``, and those whose key is."""
+    marked = df.withColumn("_key", F.xxhash64(*keys))
+    few = F.broadcast(hot)  # at most 1000 rows
+    return marked.join(few, "_key", "left_anti").drop("_key"), marked.join(few, "_key", "left_semi").drop("_key")
+
+
 def null_columns(df: DataFrame, names: Sequence[str]) -> list[Column]:
     return [F.lit(None).cast(df.schema[name].dataType).alias(name) for name in names]
 

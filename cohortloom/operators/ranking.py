@@ -12,48 +12,40 @@ from ..functions.text import seeded_order
 from .joins import lookup_join
 
 
-BLOCK_BITS = 10
+BLOCK_BITS = 16
 
 
-def block_of(value: Column) -> Column:
-    """The block of 1024 consecutive integers a value lies in."""
-    return F.shiftright(value, BLOCK_BITS)
+def _blocked(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
+    for name in [*keys, order_col]:
+        df = df.filter(F.col(name).isNotNull())
+    return df.withColumn("_block", F.shiftright(F.col(order_col), BLOCK_BITS))
 
 
-def rank_blocks(df: DataFrame, keys: Sequence[str], order_col: str, carry: Sequence[str] = ()) -> DataFrame:
-    """(keys, _block, _values, _before): the distinct values of each key by block, sorted, and how many come earlier.
+def dense_ranks(distinct: DataFrame, keys: Sequence[str], order_col: str, out: str) -> DataFrame:
+    """DENSE_RANK() OVER (PARTITION BY keys ORDER BY order_col) of an integer column, for one row per key and value.
 
-    DENSE_RANK() OVER (PARTITION BY keys ORDER BY order_col) of an integer value is ``_before`` plus its place in
-    ``_values``. A block has at most 1024 values however many rows the key has, and they are combined before the
-    shuffle. The only window runs over (key, block, count) rows. ``carry`` adds columns that depend on key and value.
-    Rows with a NULL key or value are left out.
+    Two levels replace the window over a whole key: the place inside a block of 65,536 integers, and the number of
+    values in earlier blocks. However many values a key has, the first window sees at most 65,536 rows and the second
+    one small row per block. Rows with a NULL key or value are left out; other columns are kept.
     """
     keys = list(keys)
-    present = df.select(*keys, order_col, *carry)
-    for name in [*keys, order_col]:
-        present = present.filter(F.col(name).isNotNull())
-    blocks = present.groupBy(*keys, block_of(F.col(order_col)).alias("_block")).agg(
-        F.sort_array(F.collect_set(F.struct(F.col(order_col).alias("_value"), *carry))).alias("_values")
-    )
+    blocked = _blocked(distinct, keys, order_col)
+    inside = W.partitionBy(*keys, "_block").orderBy(order_col)
+    local = blocked.withColumn("_place", F.row_number().over(inside))
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    # Most keys have one block only, so hardly any of these rows are left to join back.
-    offsets = (
-        blocks.select(*keys, "_block", F.size("_values").alias("_size"))
-        .withColumn("_before", F.sum("_size").over(earlier))
-        .filter(F.col("_before") > 0)
-        .drop("_size")
-    )
-    placed = blocks.join(offsets, [*keys, "_block"], "left")
-    return placed.select(*keys, "_block", "_values", F.coalesce("_before", F.lit(0)).cast("bigint").alias("_before"))
+    sizes = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select(*keys, "_block", F.sum("_size").over(earlier).alias("_before"))
+    # The first block of a key needs no offset, so for most keys nothing is left to join.
+    later = offsets.filter(F.col("_before") > 0)
+    rank = F.col("_place") + F.coalesce(F.col("_before"), F.lit(0))
+    return local.join(later, [*keys, "_block"], "left").select(*distinct.columns, rank.cast("bigint").alias(out))
 
 
 def with_dense_rank(df: DataFrame, keys: Sequence[str], order_col: str, out: str) -> DataFrame:
     """Rows with the dense rank of their integer value within their key; NULL keys and values get no row."""
-    blocks = rank_blocks(df, keys, order_col)
-    rows = df.withColumn("_block", block_of(F.col(order_col)))
-    joined = lookup_join(rows, blocks, [*keys, "_block"])
-    rank = F.col("_before") + F.array_position("_values._value", F.col(order_col))
-    return joined.select(*df.columns, rank.alias(out))
+    key_and_value = [*keys, order_col]
+    ranks = dense_ranks(df.select(*key_and_value).distinct(), keys, order_col, out)
+    return lookup_join(df, ranks, key_and_value).select(*df.columns, out)
 
 
 def repeat_rows(df: DataFrame, count_col: str, spread_by: Sequence[str], chunk: int = 100_000) -> DataFrame:

@@ -75,7 +75,9 @@ def test_index_equals_outer_joins_with_hot_keys(spark):
     joined = parents.join(a, "s", "left").join(i, "h", "left")
     ind = F.dense_rank().over(W.partitionBy("s", "h").orderBy(F.col("stay").asc_nulls_last())).cast("bigint")
     want = joined.select("s", "h", "stay", ind.alias("ind"))
-    assert rows(encounter_index(parents, a, i, "s", "h", "stay", stay_keys=["h"])) == rows(want)
+    for floor in (0, 100, 100_000):  # all, some and none of the admissions count as heavy
+        got = encounter_index(parents, a, i, "s", "h", "stay", stay_keys=["h"], hot_floor=floor)
+        assert rows(got) == rows(want)
 
 
 def test_ordinal(spark):

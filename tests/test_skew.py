@@ -10,6 +10,7 @@ from cohortloom.operators.encounters import build_cohort, encounter_index
 from cohortloom.operators.joins import (
     classify_last_wins,
     existence_flags,
+    hot_keys,
     interval_summary,
     keep_matching,
     left_join_many,
@@ -70,7 +71,10 @@ def test_encounter_index(low_limits, copies):
     # Different stays of the hot admission are spread by their blocks, copies of one stay are counted.
     stay = F.when(F.col("k") == 0, 17).otherwise(F.col("v")) if copies else F.col("v")
     stays = hot(low_limits).select("k", stay.cast("bigint").alias("stay"))
-    got = encounter_index(parents, visits, stays, "s", "k", "stay", stay_keys=["k"])
+    got = encounter_index(parents, visits, stays, "s", "k", "stay", stay_keys=["k"], hot_floor=1000)
+    assert {row._key for row in hot_keys(stays, ["k"], 1000).collect()} == {
+        low_limits.range(1).select(F.xxhash64(F.lit(0))).first()[0]
+    }
     joined = parents.join(visits, "s", "left").join(stays, "k", "left")
     window = W.partitionBy("s", "k").orderBy(F.col("stay").asc_nulls_last())
     want = joined.select("s", "k", "stay", F.dense_rank().over(window).cast("bigint").alias("ind"))
