@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.temporal import age_flag, whole_years
-from .joins import distinct_keys, hot_keys, lookup_join, null_columns, split_by_key
+from .joins import distinct_keys, hot_keys, lookup_join, null_columns, split_by_key, without_partner
 from .ranking import dense_ranks, repeat_rows
 
 
@@ -51,6 +51,9 @@ def encounter_index(
     counted = heavy_stays.groupBy(*on, stay_col).agg(F.count(F.lit(1)).alias("_copies")).withColumn("_order", order)
     heavy = dense_ranks(counted, on, "_order", out).join(heavy_visits, on, "inner")
     heavy = repeat_rows(heavy.select(*columns, "_copies"), "_copies", [admission_key, stay_col])
+    heavy = heavy.unionByName(
+        without_partner(heavy_visits, heavy_stays, on, [stay_col]).withColumn(out, F.lit(1).cast("bigint"))
+    )
 
     no_visit = parents.select(parent_key).join(distinct_keys(admissions, [parent_key]), parent_key, "left_anti")
     absent = [*null_columns(visits, [admission_key]), *null_columns(stays, [stay_col])]

@@ -27,12 +27,16 @@ def group_for_join(df: DataFrame, keys: Sequence[str]) -> GroupedData:
     return df.groupBy(*keys, F.xxhash64(*keys).alias(_SPREAD))
 
 
-def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The distinct non-null keys (NULL never joins), for a join on them."""
+def _with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     present = df.select(*keys)
     for key in keys:
         present = present.filter(F.col(key).isNotNull())
-    return group_for_join(present, keys).agg(F.lit(1).alias("_one")).select(*keys)
+    return present
+
+
+def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct non-null keys (NULL never joins), for a join on them."""
+    return group_for_join(_with_keys(df, keys), keys).agg(F.lit(1).alias("_one")).select(*keys)
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -46,14 +50,13 @@ def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str =
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], floor: int = 100_000) -> DataFrame:
-    """(_key): hashes of the keys that hold more than a thousandth of all rows, and more than ``floor`` rows.
+    """(_key): hashes of the keys that hold more than a thousandth of all keyed rows, and more than ``floor`` rows.
 
     At most 1000 keys can hold that share, so the result may be broadcast. It comes from a frequent-items sketch of
     10,000 entries: one pass without a shuffle, whose error is well below that share, so no such key is missed.
     """
-    item = F.xxhash64(*keys)
-    sketch = df.agg(
-        F.call_function("approx_top_k", item, F.lit(1000), F.lit(10_000)).alias("_items"),
+    sketch = _with_keys(df, keys).agg(
+        F.call_function("approx_top_k", F.xxhash64(*keys), F.lit(1000), F.lit(10_000)).alias("_items"),
         F.count(F.lit(1)).alias("_rows"),
     )
     found = sketch.select("_rows", F.inline("_items").alias("_key", "_count"))
@@ -71,15 +74,26 @@ def null_columns(df: DataFrame, names: Sequence[str]) -> list[Column]:
     return [F.lit(None).cast(df.schema[name].dataType).alias(name) for name in names]
 
 
-def left_join_many(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+def without_partner(left: DataFrame, right: DataFrame, on: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Left rows whose key is not on the right, with NULLs for the right columns."""
+    unmatched = left.join(distinct_keys(right, on), list(on), "left_anti")
+    return unmatched.select(*left.columns, *null_columns(right, columns))
+
+
+def left_join_many(left: DataFrame, right: DataFrame, on: Sequence[str], hot_floor: int = 100_000) -> DataFrame:
     """left LEFT JOIN right USING (on) for a right side with many rows per key, perhaps a third of them on one key.
 
-    Columns: those of ``left``, then the other columns of ``right``.
+    Columns: those of ``left``, then the other columns of ``right``. Only the keys found to be hot take the form
+    adaptive execution can split; without any, that part of the plan is dropped at run time.
     """
+    on = list(on)
     extra = [name for name in right.columns if name not in on]
-    matched = right.join(left, list(on), "inner").select(*left.columns, *extra)
-    unmatched = left.join(distinct_keys(right, on), list(on), "left_anti")
-    return matched.unionByName(unmatched.select(*left.columns, *null_columns(right, extra)))
+    hot = hot_keys(right, on, hot_floor)
+    usual_left, heavy_left = split_by_key(left, on, hot)
+    usual_right, heavy_right = split_by_key(right, on, hot)
+    usual = usual_left.join(usual_right, on, "left").select(*left.columns, *extra)
+    matched = heavy_right.join(heavy_left, on, "inner").select(*left.columns, *extra)
+    return usual.unionByName(matched).unionByName(without_partner(heavy_left, heavy_right, on, extra))
 
 
 def keep_matching(df: DataFrame, ids: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -200,8 +214,8 @@ def interval_join(
         raise ValueError("how must be 'left' or 'inner'")
     # Whether a left row matches depends on these columns alone, so equal rows stay or go together.
     window = [*on, start, end]
-    unmatched = left.join(distinct_keys(matched, window), window, "left_anti")
-    return matched.unionByName(unmatched.select(*left.columns, *null_columns(right, extra)))
+    missing = left.join(distinct_keys(matched, window), window, "left_anti")
+    return matched.unionByName(missing.select(*left.columns, *null_columns(right, extra)))
 
 
 def interval_summary(

@@ -240,7 +240,10 @@ def phrase_stats(hits: DataFrame, catalogue: DataFrame, seed: int) -> DataFrame:
 
 
 def peek_hits(hits: DataFrame, rank: int, seed: int = 0) -> DataFrame:
-    """(phrase, rank, doc_id) of the hit at one rank and of the last hit of each phrase."""
+    """(phrase, rank, doc_id) of the hit at one rank and of the last hit of each phrase.
+
+    The hits are read twice: materialise them before.
+    """
     at_rank = top_hits(hits, rank).filter(F.col("rank") == rank).select("phrase", "rank", "doc_id")
     last = hit_summary(hits, seed).select(
         "phrase", F.col("n_docs").cast("int").alias("rank"), F.col("last_doc").alias("doc_id")

@@ -456,7 +456,7 @@ def best_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def peeks(spark: SparkSession, sf: str) -> DataFrame:
-    return peek_hits(_hits(spark, sf), 11)
+    return peek_hits(materialise(_hits(spark, sf), scratch_folder(spark, "hits")), 11)
 
 
 def hit_totals(spark: SparkSession, sf: str) -> DataFrame:

@@ -89,7 +89,18 @@ def test_ordinal(spark):
 def test_left_join_many(spark):
     left = spark.createDataFrame([(0, "a"), (0, "a"), (1, "b"), (None, "c"), (99, "d")], "k INT, x STRING")
     right = spark.createDataFrame(hot_rows(300), "k INT, v INT")
-    assert rows(left_join_many(left, right, ["k"])) == rows(left.join(right, "k", "left"))
+    for floor in (0, 50, 100_000):
+        assert rows(left_join_many(left, right, ["k"], floor)) == rows(left.join(right, "k", "left"))
+
+
+def test_missing_keys_are_never_hot(spark):
+    left = spark.createDataFrame([(None, 1), (1, 2), (2, 3)], "k INT, x INT")
+    right = spark.createDataFrame([(None, i) for i in range(500)] + [(1, i) for i in range(5)], "k INT, v INT")
+    assert rows(left_join_many(left, right, ["k"], 0)) == rows(left.join(right, "k", "left"))
+    parents = spark.createDataFrame([(1,), (2,)], "s INT")
+    visits = spark.createDataFrame([(1, None), (1, 1), (2, 7)], "s INT, k INT")
+    got = encounter_index(parents, visits, right, "s", "k", "v", stay_keys=["k"], hot_floor=0)
+    assert (1, None, None, 1) in rows(got) and got.count() == 7
 
 
 def test_flags_never_multiply(spark):

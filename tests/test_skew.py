@@ -59,7 +59,7 @@ def same(a, b):
 def test_left_join(low_limits):
     left = low_limits.range(5000).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("x"))
     right = hot(low_limits)
-    got = left_join_many(left, right, ["k"])
+    got = left_join_many(left, right, ["k"], hot_floor=1000)
     assert split(got)
     assert same(got, left.join(right, "k", "left"))
 
