@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
-from ..functions.codes import as_flag, cascade, has_prefix, value_flags
+from ..functions.codes import cascade, has_prefix, value_flags
 from ..functions.dosing import DoseRule, dose_predicate, in_band, normalise_unit, whole_units
 from ..functions.temporal import whole_hours
 from ..functions.text import occurs
