@@ -7,18 +7,32 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, prefix_bpe, token_counts, token_files
+from . import fingerprints, maxent, prefix_bpe, quality, substring, token_counts, token_files
 from .common import scratch_path
 
 
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+
+
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet")
+    return _table(spark, sf, "documents")
 
 
 def op2_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.edit_and_next(_documents(spark, sf))
 
 
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    model = quality.train_on_labels(docs, _table(spark, sf, "labels"))
+    return quality.quality_verdicts(docs, model)
+
+
+def op5_substring(spark: SparkSession, sf: str) -> DataFrame:
+    return substring.removal_report(substring.repeat_runs(_documents(spark, sf)))
+
+
 def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,11 +50,18 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf), path, public_tokenizers.PATTERN)
 
 
+def op10_maxent(spark: SparkSession, sf: str) -> DataFrame:
+    return maxent.score_documents(_documents(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": op2_fingerprints,
+    "op4_quality": op4_quality,
+    "op5_substring": op5_substring,
     "op7_token_files": op7_token_files,
     "op8_prefix_bpe": op8_prefix_bpe,
     "op9_token_counts": op9_token_counts,
+    "op10_maxent": op10_maxent,
 }
 
 ORACLES: dict[str, str] = {}
