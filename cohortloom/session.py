@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -35,3 +37,24 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix=f"{purpose}-")
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give this package to the executors' Python workers, once per context.
+
+    Functions that run in tasks import their modules there; a cluster that has the package installed loses nothing.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_cohortloom_shipped", False):
+        return spark
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="package-"), "cohortloom_package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._cohortloom_shipped = True
+    return spark
