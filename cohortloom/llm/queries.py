@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, maxent, prefix_bpe, quality, substring, token_counts, token_files
+from . import fingerprints, maxent, ngram_join, packing, prefix_bpe, quality, substring, token_counts, token_files
 from .common import scratch_path
 
 
@@ -19,6 +19,10 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "documents")
 
 
+def op1_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.similar_documents(_documents(spark, sf))
+
+
 def op2_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.edit_and_next(_documents(spark, sf))
 
@@ -33,6 +37,11 @@ def op5_substring(spark: SparkSession, sf: str) -> DataFrame:
     return substring.removal_report(substring.repeat_runs(_documents(spark, sf)))
 
 
+def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return packing.piece_digests(packing.packed_pieces(_documents(spark, sf), vocabulary))
+
+
 def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,9 +64,11 @@ def op10_maxent(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_fingerprints": op2_fingerprints,
     "op4_quality": op4_quality,
     "op5_substring": op5_substring,
+    "op6_packing": op6_packing,
     "op7_token_files": op7_token_files,
     "op8_prefix_bpe": op8_prefix_bpe,
     "op9_token_counts": op9_token_counts,
