@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, maxent, ngram_join, packing, prefix_bpe, quality, substring, token_counts, token_files
+from . import fingerprints, maxent, ngram_join, packing, pii, prefix_bpe, quality, substring, token_counts, token_files
 from .common import scratch_path
 
 
@@ -27,6 +27,11 @@ def op2_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.edit_and_next(_documents(spark, sf))
 
 
+def op3_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf).select("doc_id", "text")
+    return pii.span_report(pii.with_spans(docs, pii.train_on_corpus(docs)))
+
+
 def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf)
     model = quality.train_on_labels(docs, _table(spark, sf, "labels"))
@@ -66,6 +71,7 @@ def op10_maxent(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_fingerprints": op2_fingerprints,
+    "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op5_substring": op5_substring,
     "op6_packing": op6_packing,
