@@ -39,7 +39,8 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_substring(spark: SparkSession, sf: str) -> DataFrame:
-    return substring.removal_report(substring.repeat_runs(_documents(spark, sf)))
+    docs = _documents(spark, sf)
+    return substring.removal_report(docs, substring.repeat_runs(docs))
 
 
 def op6_packing(spark: SparkSession, sf: str) -> DataFrame:

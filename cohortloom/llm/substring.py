@@ -12,7 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup_join
@@ -63,15 +63,15 @@ def _windows_of(words: np.ndarray, wanted: np.ndarray, length: int, seed: int):
 # --- steps ------------------------------------------------------------------------------------------------------
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 64-bit key that tells rows apart by id and text; a null text counts as empty."""
+    return F.xxhash64(F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, id, rid, text): ``id`` orders null ids first, ``rid`` tells rows apart by id and text."""
+    """(id, rid, text): ``id`` orders null ids first."""
     rows = texts_of(docs, id_col, text_col)
-    return rows.select(
-        "doc_id",
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"),
-        F.xxhash64("doc_id", "text").alias("rid"),
-        "text",
-    )
+    return rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), row_key("doc_id", "text").alias("rid"), "text")
 
 
 def _anchor_rows(rows: DataFrame, length: int, seed: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _later(windows: DataFrame, length: int) -> DataFrame:
 
 
 def repeat_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, rid, text, n_words, whole, runs): every row of ``docs`` with its repeated passages.
+    """(rid, whole, runs): the repeated passages of the rows of ``docs`` that have some, by ``row_key``.
 
     ``runs`` lists (low, high) of words covered by windows of ``length`` words that also start earlier: in a document
     with a smaller id, or further ahead in the same one. ``whole`` marks documents that repeat the word sequence of an
@@ -193,10 +193,9 @@ def repeat_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col:
     )
     marked = marked.withColumn("whole", F.col("copied") & (F.col("n_words") >= length))
     with_runs = marked.join(runs.withColumnRenamed("rid", "like"), "like", "left")
-    touched = with_runs.filter(F.col("whole") | F.col("runs").isNotNull()).groupBy("rid").agg(
+    return with_runs.filter(F.col("whole") | F.col("runs").isNotNull()).groupBy("rid").agg(
         F.any_value("whole").alias("whole"), F.any_value("runs").alias("runs")
     )
-    return keyed.join(touched, "rid", "left").select("doc_id", "rid", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs")
 
 
 def _kept(text: bytes, whole: bool, runs) -> tuple[int, list[bytes]]:
@@ -213,8 +212,8 @@ def _kept(text: bytes, whole: bool, runs) -> tuple[int, list[bytes]]:
     return len(words), [word for word, stay in zip(words, stays.tolist()) if stay]
 
 
-def removal_report(runs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) of the rows of ``repeat_runs``."""
+def removal_report(docs: DataFrame, runs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of every row, with the runs found by ``repeat_runs``."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -226,16 +225,28 @@ def removal_report(runs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
-    return map_batches(runs.select("doc_id", "text", "whole", "runs"), step, schema)
+    keyed = texts_of(docs, id_col, text_col).withColumn("rid", row_key("doc_id", "text"))
+    return map_batches(keyed.join(runs, "rid", "left").select("doc_id", "text", "whole", "runs"), step, schema)
 
 
-def kept_texts(runs: DataFrame) -> DataFrame:
-    """(doc_id, rid, kept) of the rows something is removed from: the words that stay, joined by one space."""
+def without_repeats(docs: DataFrame, runs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the repeated words taken out, all columns kept.
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))
-        kept = [b" ".join(_kept(text.encode(), whole, found)[1]).decode() for text, whole, found in rows]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string())], ["doc_id", "rid", "kept"])
+    The words that stay of a text that loses some are joined by one space; texts that lose all go.
+    """
+    names, at = docs.columns, docs.columns.index(text_col)
 
-    touched = runs.filter(F.col("whole") | F.col("runs").isNotNull())
-    return map_batches(touched.select("doc_id", "rid", "text", "whole", "runs"), step, "doc_id bigint, rid bigint, kept string")
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [batch.column(i) for i in range(len(names))]
+        texts, stays = columns[at].to_pylist(), []
+        for i, (whole, found) in enumerate(zip(*(batch.column(len(names) + j).to_pylist() for j in (0, 1)))):
+            if whole or found:
+                texts[i] = b" ".join(_kept((texts[i] or "").encode(), whole, found)[1]).decode()
+            stays.append(bool(texts[i]) or not (whole or found))
+        columns[at] = pa.array(texts, columns[at].type)
+        return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stays))
+
+    # The columns of the runs get names of their own, whatever the documents' are called.
+    mine = [f"_run_{i}_{len(names)}" for i in range(3)]
+    joined = docs.withColumn(mine[0], row_key(id_col, text_col)).join(runs.toDF(*mine), mine[0], "left")
+    return map_batches(joined.select(*names, *mine[1:]), step, docs.schema)

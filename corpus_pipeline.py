@@ -1,20 +1,77 @@
-"""The corpus pipeline: quality rules, near copies, repeated passages, personal data, packing."""
+"""The corpus pipeline: quality rules, near copies, repeated passages, personal data, packing.
+
+Every stage reads the documents its predecessor kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cohortloom.llm import ngram_join, packing, pii, quality, substring
+from cohortloom.llm.common import stored
+from cohortloom.session import ship_package, tuned
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """The character count follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the limits or that the trees reject go. The labels of the table folder train the trees."""
+    ship_package(tuned(spark))
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return quality.keep_good(docs, quality.train_on_labels(docs, labels))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of linked documents the one with the smallest id stays, and of rows with one id one row."""
+    ship_package(tuned(spark))
+    found = ngram_join.similar_documents(docs)
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that also stand earlier are taken out; texts that lose all words go."""
+    ship_package(tuned(spark))
+    return _counted(substring.without_repeats(docs, substring.repeat_runs(docs)))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    ship_package(tuned(spark))
+    found = pii.with_spans(docs, pii.train_on_corpus(docs))
+    masked = [pii.masked_text(found).alias("text") if name == "text" else F.col(name) for name in docs.columns]
+    return _counted(found.select(*masked))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the sequences of 2048 tokens, with their ids."""
+    ship_package(tuned(spark))
+    return packing.packed_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_copies),
+    ("substring dedup", repeated_passages),
+    ("personal data", personal_data),
+    ("packing", pack),
+]
 
-# Gradient-boosted trees, set joins and tokenizers have no SQL form; the tests hold run() against a plain version.
+# Boosted trees and tokenizers have no SQL form: the tests hold run() against a plain version on a small table.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
