@@ -72,8 +72,8 @@ class Memo(dict):
         self.compute, self.limit, self.old = compute, limit, {}
 
     def __missing__(self, key):
-        value = self.old.pop(key, None)
-        if value is None:
+        value = self.old.pop(key, self)
+        if value is self:
             value = self.compute(key)
         if len(self) >= self.limit:
             self.old = dict(self)
