@@ -145,13 +145,13 @@ def text_chunks(texts: Sequence[bytes], largest: int = CHUNK) -> Iterator[tuple[
         yield at, len(texts)
 
 
-def chunk_words(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For texts taken together: word hashes, word ends, byte codes, and where each text's words begin (and end)."""
+def chunk_words(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For texts taken together: word hashes, starts, ends, byte codes, and where each text's words begin (and end)."""
     data = b"\n".join(texts)
     starts, ends, codes = word_spans(data)
     hashes = span_hashes(_BYTE[codes], starts, ends) if len(starts) else np.zeros(0, _U)
     edges = np.cumsum([0] + [len(text) + 1 for text in texts])
-    return hashes, ends, codes, np.searchsorted(starts, edges)
+    return hashes, starts, ends, codes, np.searchsorted(starts, edges)
 
 
 def hashed_words(texts: Sequence[bytes]) -> Iterator[tuple[int, np.ndarray]]:
@@ -160,7 +160,7 @@ def hashed_words(texts: Sequence[bytes]) -> Iterator[tuple[int, np.ndarray]]:
     Texts are hashed many at a time, so short ones cost no numpy call of their own.
     """
     for low, high in text_chunks(texts):
-        hashes, _, _, cuts = chunk_words(texts[low:high])
+        hashes, _, _, _, cuts = chunk_words(texts[low:high])
         for i in range(high - low):
             yield low + i, hashes[cuts[i] : cuts[i + 1]]
 
