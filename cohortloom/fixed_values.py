@@ -111,7 +111,6 @@ SAMPLE_SEEDS = [10, 20, 30, 40, 50]
 # --- Phrase search --------------------------------------------------------------------------------------------
 
 PHRASE_SLOP = 4
-PHRASE_HIT_CAP = 50_000
 PEEK_RANK = 11
 SEVERITY_COHORTS = {
     "severely": ["severely"],

@@ -8,8 +8,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A number keeps its inner dots and a unit glued to it (1.6cm); every other run of letters and digits is a token.
-TOKEN_PATTERN = r"[0-9]+(?:\.[0-9]+)*[a-z0-9]*|[a-z0-9]+"
+# A number keeps its inner dots and a unit glued to it (1.6cm); every other run of letters and digits is a token,
+# in any script. The second spelling is for Python, whose patterns have no letter classes.
+TOKEN_PATTERN = r"[0-9]+(?:\.[0-9]+)*[\p{L}\p{N}]*|[\p{L}\p{N}]+"
+_PYTHON_TOKEN = r"[0-9]+(?:\.[0-9]+)*[^\W_]*|[^\W_]+"
 
 # Characters a regular expression gives a meaning to, in both the Java and the RE2 dialect.
 _SPECIAL = re.compile(r"([\\.^$|?*+()\[\]{}])")
@@ -46,7 +48,7 @@ def tokens_of(text: Column) -> Column:
 
 def phrase_tokens(phrase: str) -> list[str]:
     """The same analysis for a phrase given in the program."""
-    return re.findall(TOKEN_PATTERN, phrase.lower())
+    return re.findall(_PYTHON_TOKEN, phrase.lower())
 
 
 def labelled(first: Column, second: Column) -> Column:

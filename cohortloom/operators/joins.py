@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
@@ -49,27 +49,6 @@ def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str =
     return left.join(right, [*on, _SPREAD], how).drop(_SPREAD)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], floor: int = 100_000) -> DataFrame:
-    """(_key): hashes of the keys that hold more than a thousandth of all keyed rows, and more than ``floor`` rows.
-
-    At most 1000 keys can hold that share, so the result may be broadcast. It comes from a frequent-items sketch of
-    10,000 entries: one pass without a shuffle, whose error is well below that share, so no such key is missed.
-    """
-    sketch = _with_keys(df, keys).agg(
-        F.call_function("approx_top_k", F.xxhash64(*keys), F.lit(1000), F.lit(10_000)).alias("_items"),
-        F.count(F.lit(1)).alias("_rows"),
-    )
-    found = sketch.select("_rows", F.inline("_items").alias("_key", "_count"))
-    return found.filter((F.col("_count") > floor) & (F.col("_count") * 1000 > F.col("_rows"))).select("_key")
-
-
-def split_by_key(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key is not in ``hot_keys``, and those whose key is."""
-    marked = df.withColumn("_key", F.xxhash64(*keys))
-    few = F.broadcast(hot)  # at most 1000 rows
-    return marked.join(few, "_key", "left_anti").drop("_key"), marked.join(few, "_key", "left_semi").drop("_key")
-
-
 def null_columns(df: DataFrame, names: Sequence[str]) -> list[Column]:
     return [F.lit(None).cast(df.schema[name].dataType).alias(name) for name in names]
 
@@ -80,20 +59,16 @@ def without_partner(left: DataFrame, right: DataFrame, on: Sequence[str], column
     return unmatched.select(*left.columns, *null_columns(right, columns))
 
 
-def left_join_many(left: DataFrame, right: DataFrame, on: Sequence[str], hot_floor: int = 100_000) -> DataFrame:
+def left_join_many(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """left LEFT JOIN right USING (on) for a right side with many rows per key, perhaps a third of them on one key.
 
-    Columns: those of ``left``, then the other columns of ``right``. Only the keys found to be hot take the form
-    adaptive execution can split; without any, that part of the plan is dropped at run time.
+    Columns: those of ``left``, then the other columns of ``right``. One form for all keys: an inner join, whose sides
+    adaptive execution can both split, and the left rows whose key is not on the right.
     """
     on = list(on)
     extra = [name for name in right.columns if name not in on]
-    hot = hot_keys(right, on, hot_floor)
-    usual_left, heavy_left = split_by_key(left, on, hot)
-    usual_right, heavy_right = split_by_key(right, on, hot)
-    usual = usual_left.join(usual_right, on, "left").select(*left.columns, *extra)
-    matched = heavy_right.join(heavy_left, on, "inner").select(*left.columns, *extra)
-    return usual.unionByName(matched).unionByName(without_partner(heavy_left, heavy_right, on, extra))
+    matched = right.join(left, on, "inner").select(*left.columns, *extra)
+    return matched.unionByName(without_partner(left, right, on, extra))
 
 
 def keep_matching(df: DataFrame, ids: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -212,9 +187,15 @@ def interval_join(
         return matched
     if how != "left":
         raise ValueError("how must be 'left' or 'inner'")
-    # Whether a left row matches depends on these columns alone, so equal rows stay or go together.
+    # Whether a left row matches depends on these columns alone, so equal rows stay or go together. The rows that
+    # matched are asked for with all their columns here too: both uses then read the same shuffled rows.
     window = [*on, start, end]
-    missing = left.join(distinct_keys(matched, window), window, "left_anti")
+    rest = [name for name in [*left.columns, *extra] if name not in window]
+    names = [f"_window_{i}" for i in range(len(window))]
+    found = matched.groupBy(*window, F.xxhash64(*window).alias(_SPREAD)).agg(F.any_value(F.struct(*rest)).alias("_row"))
+    found = found.select(*[F.col(name).alias(other) for name, other in zip(window, names)], "_row")
+    same = reduce(and_, [F.col(name) == F.col(other) for name, other in zip(window, names)]) & F.col("_row").isNotNull()
+    missing = left.join(found, same, "left_anti")
     return matched.unionByName(missing.select(*left.columns, *null_columns(right, extra)))
 
 

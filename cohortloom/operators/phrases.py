@@ -7,13 +7,15 @@ the search is a map over documents: no shuffle, no pairs, and a frequent token c
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import phrase_tokens, seeded_order, tokens_of
-from .ranking import top_k
+from .ranking import ranked, top_k
 
 
 def tokenise(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -21,8 +23,11 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, keep: Sequence[str] =
     return docs.select(id_col, *keep, F.posexplode(tokens_of(F.col(text_col))).alias("p", "tok"))
 
 
+_SOUGHT = "array<struct<phrase:string,n:int,toks:array<string>,terms:array<struct<tok:string,q:int,again:boolean>>>>"
+
+
 def _phrase_literals(phrases: Sequence[str]) -> Column:
-    """The phrases as one literal array; terms sorted so that repeats of a token follow each other."""
+    """The phrases as one literal array, parsed from one text; terms sorted so that repeats of a token follow each other."""
     rows = []
     for phrase in dict.fromkeys(phrases):
         toks = phrase_tokens(phrase)
@@ -31,19 +36,14 @@ def _phrase_literals(phrases: Sequence[str]) -> Column:
         terms = sorted((tok, q) for q, tok in enumerate(toks))
         repeats = [i > 0 and terms[i - 1][0] == tok for i, (tok, _) in enumerate(terms)]
         rows.append(
-            F.struct(
-                F.lit(phrase).alias("phrase"),
-                F.lit(len(toks)).alias("n"),
-                F.array(*[F.lit(tok) for tok in dict.fromkeys(toks)]).alias("toks"),
-                F.array(
-                    *[
-                        F.struct(F.lit(tok).alias("tok"), F.lit(q).alias("q"), F.lit(again).alias("again"))
-                        for (tok, q), again in zip(terms, repeats)
-                    ]
-                ).alias("terms"),
-            )
+            {
+                "phrase": phrase,
+                "n": len(toks),
+                "toks": list(dict.fromkeys(toks)),
+                "terms": [{"tok": tok, "q": q, "again": again} for (tok, q), again in zip(terms, repeats)],
+            }
         )
-    return F.array(*rows)
+    return F.from_json(F.lit(json.dumps(rows)), _SOUGHT)
 
 
 def _tightness(terms: Column, start: Column, entries: Column) -> Column:
@@ -85,7 +85,7 @@ def phrase_search(
     vocabulary = sorted({tok for phrase in phrases for tok in phrase_tokens(phrase)})
     places = F.filter(
         F.transform(tokens_of(F.col(text_col)), lambda tok, p: F.struct(p.alias("p"), tok.alias("tok"))),
-        lambda place: place.tok.isin(vocabulary),
+        lambda place: F.array_contains(F.from_json(F.lit(json.dumps(vocabulary)), "array<string>"), place.tok),
     )
     # Only the few distinct query tokens of a document are visited below; the text is gone from here on.
     present = docs.select(F.col(id_col).alias("doc_id"), places.alias("places")).select(
@@ -184,16 +184,9 @@ def catalogue_rows(texts: Mapping[tuple[str, str], str]) -> list[tuple[str, str,
 
 def catalogue_frame(spark: SparkSession, rows: Sequence[tuple[str, str, str]]) -> DataFrame:
     """(position, category, level, phrase) as a frame of literals."""
-    structs = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(category).alias("category"),
-            F.lit(level).alias("level"),
-            F.lit(phrase).alias("phrase"),
-        )
-        for i, (category, level, phrase) in enumerate(rows)
-    ]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    literal = json.dumps([dict(zip(("position", "category", "level", "phrase"), (i, *row))) for i, row in enumerate(rows)])
+    schema = "array<struct<position:int,category:string,level:string,phrase:string>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(literal), schema)))
 
 
 def _by_relevance() -> list[Column]:
@@ -239,16 +232,45 @@ def phrase_stats(hits: DataFrame, catalogue: DataFrame, seed: int) -> DataFrame:
     return joined.select(*catalogue.columns, *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in numbers])
 
 
-def peek_hits(hits: DataFrame, rank: int, seed: int = 0) -> DataFrame:
-    """(phrase, rank, doc_id) of the hit at one rank and of the last hit of each phrase.
+def ranked_hits(hits: DataFrame, bounds: Sequence[int] | None = None) -> DataFrame:
+    """(phrase, score, doc_id, rank, n_docs) of all hits: the place in the phrase by score, ties by document.
+
+    The hits are read twice: write them before if they are dear. A phrase that most documents hold is ranked by many
+    tasks. ``bounds`` cut the
+    ids of the documents into ranges (see ``value_bounds``); without them they come from a pass over the hits.
+    """
+    return ranked(hits.select("phrase", "score", "doc_id"), ["phrase"], "score", "doc_id", total="n_docs", bounds=bounds)
+
+
+def peek_hits(hits: DataFrame, rank: int, parts: int = 64) -> DataFrame:
+    """(phrase, rank, doc_id) of the hit at one rank and of the last hit of each phrase, in one pass.
 
-    The hits are read twice: materialise them before.
+    Each of ``parts`` slices of a phrase keeps its first ``rank`` hits, its last one and its size; the rest follows from
+    what is kept.
     """
-    at_rank = top_hits(hits, rank).filter(F.col("rank") == rank).select("phrase", "rank", "doc_id")
-    last = hit_summary(hits, seed).select(
-        "phrase", F.col("n_docs").cast("int").alias("rank"), F.col("last_doc").alias("doc_id")
+    backwards = [F.col("score").asc(), F.col("doc_id").desc()]
+    piece = W.partitionBy("phrase", "_slice")
+    sliced = hits.select("phrase", "score", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("_slice"))
+    kept = sliced.select(
+        "*",
+        F.row_number().over(piece.orderBy(*_by_relevance())).alias("_n"),
+        F.row_number().over(piece.orderBy(*backwards)).alias("_back"),
+        F.count(F.lit(1)).over(piece).alias("_size"),
+    ).filter((F.col("_n") <= rank) | (F.col("_back") == 1))
+    whole = W.partitionBy("phrase")
+    placed = kept.select(
+        "phrase",
+        "doc_id",
+        F.row_number().over(whole.orderBy(*_by_relevance())).alias("_place"),
+        F.row_number().over(whole.orderBy(*backwards)).alias("_back"),
+        F.sum(F.when(F.col("_back") == 1, F.col("_size"))).over(whole).alias("_total"),
+    )
+    last = F.when(F.col("_back") == 1, F.col("_total"))
+    at_rank = F.when(F.col("_place") == rank, F.lit(rank))
+    return (
+        placed.select("phrase", F.coalesce(last, at_rank).cast("int").alias("rank"), "doc_id")
+        .filter(F.col("rank").isNotNull())
     )
-    return at_rank.union(last).distinct()
 
 
 def severity_ids(hits: DataFrame, catalogue: DataFrame, cohorts: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -280,33 +302,26 @@ def severity_cohorts(
     return docs.select(*columns).join(ids, id_col, "inner").select("cohort", *columns)
 
 
-def phrase_json(hits: DataFrame, catalogue: DataFrame, cap: int) -> DataFrame:
-    """(category, json): {level: {phrase: [documents in rank order]}}, at most ``cap`` documents per phrase.
+def phrase_json(
+    hits: DataFrame, catalogue: DataFrame, part_size: int = 10_000, bounds: Sequence[int] | None = None
+) -> DataFrame:
+    """(category, level, phrase, part, ids): all documents of each catalogue phrase, in the order of their rank, as JSON.
 
-    The cap is the search's own result limit and bounds every list; nothing else is gathered.
+    A list holds at most ``part_size`` documents, so no row grows with the corpus; a phrase with more has more parts,
+    counted from 0. A phrase without a hit has one empty list.
     """
+    part = F.floor((F.col("rank") - 1) / part_size).cast("int")
     lists = (
-        top_hits(hits, cap)
-        .groupBy("phrase")
+        ranked_hits(hits, bounds)
+        .groupBy("phrase", part.alias("part"))
         .agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))).alias("_ranked"))
-        .select("phrase", F.col("_ranked.doc_id").alias("ids"))
-    )
-    rows = catalogue.join(lists, "phrase", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
-    per_level = rows.groupBy("category", "level").agg(
-        F.min("position").alias("position"),
-        F.sort_array(F.collect_list(F.struct("position", "phrase", "ids"))).alias("_p"),
+        .select("phrase", "part", F.col("_ranked.doc_id").alias("ids"))
     )
-    phrases = F.map_from_arrays("_p.phrase", "_p.ids")
-    per_category = (
-        per_level.select("category", "level", "position", phrases.alias("phrases"))
-        .groupBy("category")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "level", "phrases")), _by_position).alias("_l"))
+    rows = catalogue.join(lists, "phrase", "left")
+    ids = F.coalesce("ids", F.array().cast("array<bigint>"))
+    return rows.select(
+        "category", "level", "phrase", F.coalesce("part", F.lit(0)).alias("part"), F.to_json(ids).alias("ids")
     )
-    return per_category.select("category", F.to_json(F.map_from_arrays("_l.level", "_l.phrases")).alias("json"))
-
-
-def _by_position(a: Column, b: Column) -> Column:
-    return a.position - b.position
 
 
 def report_lines(stats: DataFrame, catalogue: DataFrame, titles: Mapping[str, str]) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
 from ..functions.text import contains_ignore_case, contains_keyword, labelled
-from ..operators.joins import keep_matching
+from ..operators.joins import flag_exists, keep_matching
 from ..operators.notes import frequency, keyword_cohort
+from ..operators.ranking import seeded_samples, with_ordinal
 from ..operators.sets import id_set, overlap, union_ids
+from ..sources.files import write_csv
 
 
 def admission_note_types(noteevents: DataFrame) -> DataFrame:
@@ -61,3 +63,53 @@ def sepsis_admission_notes(noteevents: DataFrame, external: DataFrame) -> DataFr
 
 def heart_failure_sepsis_notes(noteevents: DataFrame, external: DataFrame) -> DataFrame:
     return keep_matching(heart_failure_notes(noteevents), sepsis_ids(external), ["hadm_id"])
+
+
+def admission_note_counts(noteevents: DataFrame, external: DataFrame) -> DataFrame:
+    """(n_notes, n_admissions, n_subjects, n_sepsis_admissions) of the admission notes."""
+    notes = admission_notes(noteevents).select("subject_id", "hadm_id")
+    flagged = flag_exists(notes, sepsis_ids(external), ["hadm_id"], "_sepsis")
+    sepsis = F.when(F.col("_sepsis") == 1, F.col("hadm_id"))
+    return flagged.agg(
+        F.count(F.lit(1)).alias("n_notes"),
+        F.count_distinct("hadm_id").alias("n_admissions"),
+        F.count_distinct("subject_id").alias("n_subjects"),
+        F.count_distinct(sepsis).alias("n_sepsis_admissions"),
+    )
+
+
+def external_counts(external: DataFrame) -> DataFrame:
+    """(n_ids, n_flagged): distinct admissions of the external list, and of its rows marked as severe sepsis."""
+    flagged = F.when(F.col("angus") == 1, F.col("hadm_id"))
+    return external.agg(F.count_distinct("hadm_id").alias("n_ids"), F.count_distinct(flagged).alias("n_flagged"))
+
+
+def heart_failure_samples(noteevents: DataFrame) -> DataFrame:
+    """(seed, row_id, hadm_id): one heart-failure note for each published seed, to be read by a person."""
+    notes = heart_failure_notes(noteevents).select("row_id", "hadm_id")
+    return seeded_samples(notes, "row_id", 1, fixed.SAMPLE_SEEDS).select("seed", "row_id", "hadm_id")
+
+
+def numbered(noteevents: DataFrame) -> DataFrame:
+    """(row_id, subject_id, hadm_id, ordinal): the place of every note in the whole table, from 0."""
+    return with_ordinal(noteevents.select(*EXPORTED), "row_id")
+
+
+EXPORTED = ["row_id", "subject_id", "hadm_id"]
+
+
+def note_exports(noteevents: DataFrame, external: DataFrame) -> dict[str, DataFrame]:
+    """The four note cohorts as they are exported; the heart-failure notes carry their ordinal instead of their id."""
+    found = heart_failure_notes(noteevents).select("row_id")
+    return {
+        "admission": admission_notes(noteevents).select(*EXPORTED),
+        "heart_failure": keep_matching(numbered(noteevents), found, ["row_id"]).select("ordinal", "subject_id", "hadm_id"),
+        "sepsis": sepsis_admission_notes(noteevents, external).select(*EXPORTED),
+        "heart_failure_sepsis": heart_failure_sepsis_notes(noteevents, external).select(*EXPORTED),
+    }
+
+
+def write_exports(exports: dict[str, DataFrame], path: str) -> None:
+    """Each cohort as CSV below its name."""
+    for name, df in exports.items():
+        write_csv(df, f"{path}/{name}", df.columns)

@@ -6,7 +6,10 @@ lazy frame; only ``sepsis_cohort`` is worth materialising, because the enrichmen
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fixed
@@ -15,8 +18,15 @@ from ..functions.dosing import DoseRule, dose_predicate, in_band, normalise_unit
 from ..functions.temporal import whole_hours
 from ..functions.text import occurs
 from ..operators.dosing import union_of_sums
-from ..operators.encounters import age_flags, build_cohort, encounter_index
-from ..operators.joins import classify_last_wins, existence_flags, flag_exists, interval_summary
+from ..operators.encounters import age_flags, build_cohort, encounter_index, first_encounters
+from ..operators.joins import (
+    classify_last_wins,
+    existence_flags,
+    flag_exists,
+    group_for_join,
+    interval_summary,
+    lookup_join,
+)
 from ..operators.notes import text_evidence
 from ..operators.sets import attrition
 from ..operators.status import first_last_status
@@ -30,6 +40,28 @@ def admissions_index(patients: DataFrame, admissions: DataFrame, icustays: DataF
     return encounter_index(patients, admissions, icustays, "subject_id", "hadm_id", "icustay_id")
 
 
+def first_stays(patients: DataFrame, admissions: DataFrame, icustays: DataFrame) -> DataFrame:
+    """The rows of the index with number 1 that belong to an admission."""
+    return first_encounters(patients, admissions, icustays, "subject_id", "hadm_id", "icustay_id")
+
+
+def adult_rows(index: DataFrame, people: DataFrame) -> DataFrame:
+    """(n_rows): rows of the admissions index whose admission is of an adult."""
+    adults = people.filter(F.col("age_flag") == 1).select(*ADMISSION)
+    return lookup_join(index, adults, ADMISSION).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def sepsis_counts(flags: DataFrame) -> DataFrame:
+    """(n_rows, n_subjects) of the admissions with severe sepsis."""
+    rows = flags.filter(F.col("angus") == 1)
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("subject_id").alias("n_subjects"))
+
+
+def sepsis_rows_per_subject(flags: DataFrame) -> DataFrame:
+    """(subject_id, n) of the admissions with severe sepsis."""
+    return flags.filter(F.col("angus") == 1).groupBy("subject_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def demographics(admissions: DataFrame, patients: DataFrame) -> DataFrame:
     return age_flags(
         admissions.select("subject_id", "hadm_id", "admittime"),
@@ -57,15 +89,19 @@ def sepsis_flags(admissions: DataFrame, diagnoses: DataFrame, procedures: DataFr
     flagged = existence_flags(
         flagged, procedures, ["hadm_id"], {"mech_vent": has_prefix(code, fixed.MECHANICAL_VENTILATION)}
     )
+    return flagged.withColumn("angus", _angus())
+
+
+def _angus() -> Column:
+    """Severe sepsis: named as such, or an infection with organ dysfunction or mechanical ventilation."""
     infection = F.col("infection") == 1
-    angus = cascade(
+    return cascade(
         [
             (F.col("explicit_sepsis") == 1, 1),
             (infection & (F.col("organ_dysfunction") == 1), 1),
             (infection & (F.col("mech_vent") == 1), 1),
         ]
     )
-    return flagged.withColumn("angus", angus)
 
 
 def with_heart_failure(flags: DataFrame, diagnoses: DataFrame) -> DataFrame:
@@ -81,6 +117,56 @@ def with_heart_failure(flags: DataFrame, diagnoses: DataFrame) -> DataFrame:
     )
 
 
+def admission_flags(admissions: DataFrame, diagnoses: DataFrame, procedures: DataFrame) -> DataFrame:
+    """``with_heart_failure(sepsis_flags(...))`` from one read of the diagnoses.
+
+    All tests of a code become bits of one number, which is combined per subject and admission. The heart-failure bits
+    are looked up by both, the sepsis bits by the admission alone; both lookups read the same shuffled rows.
+    """
+    code = F.col("icd9_code")
+    classes = list(fixed.HEART_FAILURE_CLASSES.items())
+    tests = [
+        has_prefix(code, fixed.INFECTION),
+        has_prefix(code, fixed.EXPLICIT_SEPSIS),
+        has_prefix(code, fixed.ORGAN_DYSFUNCTION),
+        code.isin(fixed.HEART_FAILURE),
+        *[code.isin(list(codes)) for _, codes in classes],
+    ]
+    marks = reduce(add, [F.when(test, 1 << bit).otherwise(0) for bit, test in enumerate(tests)])
+    rows = diagnoses.select(*ADMISSION, marks.alias("_marks")).filter(F.col("_marks") > 0)
+    pairs = group_for_join(rows, ADMISSION).agg(F.bit_or("_marks").alias("_marks")).drop("_spread")
+    own = pairs.withColumnRenamed("_marks", "_own")
+    shared = group_for_join(pairs, ["hadm_id"]).agg(F.bit_or("_marks").alias("_shared")).drop("_spread")
+
+    base = existence_flags(
+        admissions.select(*ADMISSION),
+        procedures,
+        ["hadm_id"],
+        {"mech_vent": has_prefix(code, fixed.MECHANICAL_VENTILATION)},
+    )
+    joined = base.join(own, ADMISSION, "left").join(shared, "hadm_id", "left")
+
+    def bit(name: str, number: int) -> Column:
+        return F.when(F.getbit(F.col(name), F.lit(number)) == 1, 1).otherwise(0)
+
+    label = F.lit(None).cast("string")
+    for i, (name, _) in enumerate(classes):
+        label = F.when(bit("_own", 4 + i) == 1, F.lit(name)).otherwise(label)
+    flagged = joined.select(
+        *ADMISSION,
+        bit("_shared", 0).alias("infection"),
+        bit("_shared", 1).alias("explicit_sepsis"),
+        bit("_shared", 2).alias("organ_dysfunction"),
+        "mech_vent",
+        bit("_own", 3).alias("chd"),
+        label.alias("chd_class"),
+    )
+    return flagged.select(
+        *ADMISSION, "infection", "explicit_sepsis", "organ_dysfunction", "mech_vent", _angus().alias("angus"), "chd",
+        "chd_class",
+    )
+
+
 def _durations(df: DataFrame) -> DataFrame:
     return df.withColumn("timeadtodischarge", whole_hours(F.col("admittime"), F.col("dischtime"))).withColumn(
         "timeadtodeath", whole_hours(F.col("admittime"), F.col("deathtime"))
@@ -145,17 +231,13 @@ def code_status(
     mentions = nursing_mentions(noteevents)
     if use_note_flag:
         mentions = mentions.filter(F.col("cmo") == 1)
-    stays = icustays.select(*ADMISSION, "icustay_id", "intime", "outtime").distinct()
-    timed = interval_summary(
-        stays,
-        mentions,
-        ["hadm_id"],
-        "charttime",
-        "intime",
-        "outtime",
-        {"_note_time": F.min("charttime")},
-        key=["icustay_id"],
+    # One row per stay and arrival; its windows may differ in their end, and the earliest note of any of them counts.
+    stay = [*ADMISSION, "icustay_id", "intime"]
+    windows = icustays.select(*stay, "outtime").distinct()
+    notes = interval_summary(
+        windows, mentions, ["hadm_id"], "charttime", "intime", "outtime", {"_note_time": F.min("charttime")}
     )
+    timed = notes.groupBy(*stay).agg(F.min("_note_time").alias("_note_time"))
     joined = timed.join(charts, "icustay_id", "left").join(discharge, "hadm_id", "left")
     names = list(fixed.CODE_STATUS_VALUES)
     return joined.select(

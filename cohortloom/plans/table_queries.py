@@ -40,17 +40,18 @@ from ..operators.phrases import (
     tokenise,
     top_hits,
 )
-from ..operators.ranking import first_match, seeded_sample, seeded_samples, with_ordinal
+from ..operators.ranking import first_match, seeded_sample, seeded_samples, value_bounds, with_ordinal
 from ..operators.sets import attrition, id_set, intersect_ids, overlap, shape, union_ids
 from ..operators.status import first_last_status
-from ..session import scratch_folder
-from ..sources.files import export_documents, read_quoted_csv, write_csv
+from ..session import remove_folder, scratch_folder
+from ..sources.files import export_documents, id_from_path, read_exported_texts, read_quoted_csv, write_csv
 from ..sources.tables import load, materialise
 
 BRANDS = {7: ["Brand#1"], 8: ["Brand#23", "Brand#24"]}
 LINE_CLASSES = {"ACCEPTED": ["A"], "NONE": ["N"], "RETURNED": ["R"]}
 LICENCE = ["licen[cs]e", "copyright"]
 SLOP = 4
+PART = 100
 SEED = 10
 SEEDS = [10, 20, 30, 40, 50]
 PHRASES = ["of the", "by the and", "on the it is", "the by the", "this is the", "zzqx of the"]
@@ -428,6 +429,10 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
     return phrase_search(load(spark, sf, "documents"), "doc_id", "text", PHRASES, SLOP)
 
 
+def _id_bounds(spark: SparkSession, sf: str) -> list[int]:
+    return value_bounds(load(spark, sf, "documents", ["doc_id"]), "doc_id")
+
+
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     toks = tokenise(load(spark, sf, "documents"), "doc_id", "text", ["lang"])
     return toks.groupBy("lang").agg(
@@ -456,7 +461,7 @@ def best_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def peeks(spark: SparkSession, sf: str) -> DataFrame:
-    return peek_hits(materialise(_hits(spark, sf), scratch_folder(spark, "hits")), 11)
+    return peek_hits(_hits(spark, sf), 11)
 
 
 def hit_totals(spark: SparkSession, sf: str) -> DataFrame:
@@ -473,14 +478,17 @@ def statistics_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hits_json(spark: SparkSession, sf: str) -> DataFrame:
-    return phrase_json(_hits(spark, sf), catalogue_frame(spark, CATALOGUE), 50_000)
+    return phrase_json(_hits(spark, sf), catalogue_frame(spark, CATALOGUE), PART, _id_bounds(spark, sf))
 
 
 # --- sinks ------------------------------------------------------------------------------------------------------
 
 
 def sink_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Write ids as CSV, documents as parquet and a table, read each back and describe what came back."""
+    """Write ids as CSV, documents as parquet and a table, read each back and describe what came back.
+
+    The folder is below the shared one and goes when the descriptions, one row per sink, are read.
+    """
     docs = load(spark, sf, "documents", ["doc_id", "lang", "text"])
     base = scratch_folder(spark, "sinks")
     write_csv(docs, f"{base}/ids", ["doc_id", "lang"])
@@ -500,7 +508,44 @@ def sink_round_trip(spark: SparkSession, sf: str) -> DataFrame:
             F.sum("size").alias("n_chars"),
         )
         rows = described if rows is None else rows.unionByName(described)
-    return rows
+    return _read_and_removed(rows, base)
+
+
+def _read_and_removed(described: DataFrame, folder: str) -> DataFrame:
+    """The few rows of a description, read now; the folder they came from is removed."""
+    spark = described.sparkSession
+    result = spark.createDataFrame(described.collect(), described.schema)
+    remove_folder(spark, folder)
+    return result
+
+
+def exported_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark items as one text file each, and the parquet form of the same, read back and described."""
+    items = load(spark, sf, "benchmark", ["item_id", "text"])
+    base = scratch_folder(spark, "texts")
+    export_documents(items, f"{base}/files", "item_id", "text", one_file_each=True)
+    export_documents(items, f"{base}/parquet", "item_id", "text")
+    back = {
+        "files": read_exported_texts(spark, f"{base}/files", "item_id"),
+        "parquet": spark.read.parquet(f"{base}/parquet"),
+    }
+    described = [
+        df.agg(
+            F.lit(name).alias("sink"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_distinct("item_id").alias("n_ids"),
+            F.sum(F.length("text")).alias("n_chars"),
+        )
+        for name, df in back.items()
+    ]
+    return _read_and_removed(described[0].unionByName(described[1]), base)
+
+
+def path_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids read back from the paths that documents would be exported under."""
+    docs = load(spark, sf, "documents", ["doc_id"])
+    path = F.concat(F.lit("notes/of.2024/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return docs.select("doc_id", id_from_path(path).alias("path_id"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -550,4 +595,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q28_phrase_json": hits_json,
     "q29_sink_round_trip": sink_round_trip,
     "q29_row_ordinal": ordinals,
+    "q29_exported_texts": exported_texts,
+    "q29_path_ids": path_ids,
 }

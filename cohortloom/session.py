@@ -2,41 +2,64 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
-# Every setting is a runtime SQL setting, so it also applies to a session that somebody else created.
+# Runtime SQL settings, so they also reach a session that somebody else created.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even if that costs one more shuffle of the joined rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.session.timeZone": "UTC",
 }
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Apply the settings the operators rely on to a session."""
+    """Give the settings the operators rely on to a session, unless its owner has given them.
+
+    Timestamps are without a zone throughout, so the time zone is left alone.
+    """
+    given = {name for name, _ in spark.sparkContext.getConf().getAll()}
     for name, value in RUNTIME_SETTINGS.items():
-        spark.conf.set(name, value)
+        if name not in given:
+            spark.conf.set(name, value)
     return spark
 
 
-def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder name below the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder on this machine.
+    Where the setting is missing, as in tests, a session on this one machine gets a folder of its own, which goes when
+    the program ends. Any other session must have the setting.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix=f"{purpose}-")
+        return shared.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(context, "_cohortloom_folder"):
+        context._cohortloom_folder = tempfile.mkdtemp(prefix="cohortloom-")
+        atexit.register(shutil.rmtree, context._cohortloom_folder, ignore_errors=True)
+    return context._cohortloom_folder
+
+
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder name below the shared folder."""
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``scratch_folder`` named, wherever it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ship_package(spark: SparkSession) -> SparkSession:

@@ -15,9 +15,8 @@ def _parsed(column: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, T.StringType):
         return column
     if isinstance(data_type, _INTEGRAL):
-        # Ids of a column with gaps are often written as 125506.0.
-        number = F.coalesce(column.try_cast("bigint"), column.try_cast("double").try_cast("bigint"))
-        return number.try_cast(data_type)
+        # Ids of a column with gaps are often written as 125506.0; 125506.7 is no id.
+        return F.regexp_extract(column, r"^\s*([+-]?[0-9]+)(?:\.0*)?\s*$", 1).try_cast(data_type)
     return column.try_cast(data_type)
 
 
@@ -56,7 +55,7 @@ def read_exported_texts(spark: SparkSession, path: str, id_col: str) -> DataFram
 
 def id_from_path(path: Column, suffix: str = ".txt") -> Column:
     """The integer file name of a path, without its extension."""
-    return F.regexp_extract(path, r"([0-9]+)" + suffix.replace(".", r"\.") + "$", 1).try_cast("int")
+    return F.regexp_extract(path, r"([0-9]+)" + suffix.replace(".", r"\.") + "$", 1).try_cast("bigint")
 
 
 def write_lines(df: DataFrame, path: str, order: str, line: str) -> None:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from cohortloom.plans.echo import echo_severity
-from cohortloom.session import scratch_folder
+from cohortloom.plans.note_cohorts import note_exports, write_exports
+from cohortloom.session import remove_folder, scratch_folder
 from cohortloom.sources.files import (
     export_documents,
     id_from_path,
@@ -46,8 +49,36 @@ def test_one_file_per_document(spark, tmp_path):
 
 
 def test_id_from_path(spark):
-    df = spark.createDataFrame([("/a/b/123.txt",), ("x/7.csv",)], "p STRING")
-    assert [row[0] for row in df.select(id_from_path(F.col("p"))).collect()] == [123, None]
+    df = spark.createDataFrame([("/a/b/123.txt",), ("x/7.csv",), ("n/9007199254740993.txt",)], "p STRING")
+    assert [row[0] for row in df.select(id_from_path(F.col("p"))).collect()] == [123, None, 9007199254740993]
+
+
+def test_ids_with_a_point(spark, tmp_path):
+    path = str(tmp_path / "ids")
+    values = ["125506", "125506.0", "125506.", "125506.7", "9007199254740993.0", "-3", "x", "1e5", "99999999999999999999"]
+    spark.createDataFrame([(v,) for v in values], "`'hadm_id'` STRING").coalesce(1).write.option("header", True).csv(path)
+    got = [row.hadm_id for row in read_quoted_csv(spark, path, "hadm_id BIGINT").collect()]
+    assert got == [125506, 125506, 125506, None, 9007199254740993, -3, None, None, None]
+
+
+def test_exports_round_trip(spark, tmp_path):
+    notes = spark.createDataFrame(
+        [
+            (5, 1, 10, "Physician Resident Admission Note", "known CHF"),
+            (7, 2, 20, "Physician Resident Admission Note", "nothing"),
+            (9, 3, 30, "Report", "CHF"),
+        ],
+        "row_id BIGINT, subject_id INT, hadm_id INT, description STRING, text STRING",
+    )
+    external = spark.createDataFrame([(10, 1), (20, 0)], "hadm_id INT, angus INT")
+    write_exports(note_exports(notes, external), str(tmp_path))
+    back = {
+        name: sorted(tuple(row) for row in spark.read.option("header", True).csv(str(tmp_path / name)).collect())
+        for name in ["admission", "heart_failure", "sepsis", "heart_failure_sepsis"]
+    }
+    assert back["admission"] == [("5", "1", "10"), ("7", "2", "20")]
+    assert back["heart_failure"] == [("0", "1", "10")]  # the ordinal in all notes
+    assert back["sepsis"] == back["heart_failure_sepsis"] == [("5", "1", "10")]
 
 
 def test_load_pushes_filter_and_columns(spark):
@@ -78,6 +109,9 @@ def test_scratch_folder_follows_the_setting(spark):
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     first, second = scratch_folder(spark, "x"), scratch_folder(spark, "x")
     assert first.startswith(f"{shared}/x-") and first != second
+    spark.range(3).write.parquet(first)
+    remove_folder(spark, first)
+    assert not os.path.exists(first)
 
 
 def test_echo_plan_and_sinks(spark, tmp_path):
@@ -103,10 +137,11 @@ def test_echo_plan_and_sinks(spark, tmp_path):
     lines = [row.value for row in spark.read.text(str(tmp_path / "report")).collect()]
     assert len(lines) == 790 and lines[3] == "NORMAL" and lines[-1] == "*" * 100
     assert lines[6:11] == ["Overall normal LVEF (>55%)", "Number of Documents 1", "First 2", "Random 2", "Last 2"]
-    write_json(result.json, str(tmp_path / "json"), "json")
+    listed = result.json()
+    write_json(listed.select(F.to_json(F.struct(*listed.columns)).alias("json")), str(tmp_path / "json"), "json")
     parsed = [json.loads(row.value) for row in spark.read.text(str(tmp_path / "json")).collect()]
-    assert sorted(len(level) for category in parsed for level in category.values()) == sorted(
+    assert sorted(Counter((row["category"], row["level"]) for row in parsed).values()) == sorted(
         [22, 16, 7, 23, 6, 2, 11, 17, 2, 7, 4, 4]
     )
-    first = result.json.filter("category = 'LVSF'").first().json
-    assert first.startswith('{"normal":{"Overall normal LVEF (>55%)":[2]')
+    first = next(row for row in parsed if row["phrase"] == "Overall normal LVEF (>55%)")
+    assert (first["level"], first["part"], first["ids"]) == ("normal", 0, "[2]")

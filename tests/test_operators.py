@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -25,12 +27,13 @@ from cohortloom.operators.joins import (
 from cohortloom.operators.phrases import (
     catalogue_frame,
     peek_hits,
+    phrase_json,
     phrase_search,
     phrase_stats,
     severity_ids,
     top_hits,
 )
-from cohortloom.operators.ranking import seeded_sample, seeded_samples, top_k, with_dense_rank, with_ordinal
+from cohortloom.operators.ranking import seeded_sample, seeded_samples, top_k, value_bounds, with_dense_rank, with_ordinal
 from cohortloom.operators.sets import attrition, overlap
 from cohortloom.operators.status import first_last_status
 
@@ -58,6 +61,13 @@ def test_dense_rank_over_many_blocks(spark):
     assert rows(with_dense_rank(df, ["k"], "v", "r")) == rows(want)
 
 
+def test_dense_rank_keeps_missing_keys_and_values(spark):
+    df = spark.createDataFrame(hot_rows(600) + [(None, None), (3, None)], "k INT, v INT").repartition(5)
+    window = W.partitionBy("k").orderBy(F.col("v").asc_nulls_last())
+    want = df.select("k", "v", F.dense_rank().over(window).cast("bigint").alias("r"))
+    assert rows(with_dense_rank(df, ["k"], "v", "r")) == rows(want)
+
+
 def test_dense_rank_of_big_integers(spark):
     values = [(1, v) for v in (-(1 << 62), -1, 0, 1023, 1024, 1 << 40, (1 << 63) - 1)]
     df = spark.createDataFrame(values, "k INT, v BIGINT")
@@ -75,9 +85,7 @@ def test_index_equals_outer_joins_with_hot_keys(spark):
     joined = parents.join(a, "s", "left").join(i, "h", "left")
     ind = F.dense_rank().over(W.partitionBy("s", "h").orderBy(F.col("stay").asc_nulls_last())).cast("bigint")
     want = joined.select("s", "h", "stay", ind.alias("ind"))
-    for floor in (0, 100, 100_000):  # all, some and none of the admissions count as heavy
-        got = encounter_index(parents, a, i, "s", "h", "stay", stay_keys=["h"], hot_floor=floor)
-        assert rows(got) == rows(want)
+    assert rows(encounter_index(parents, a, i, "s", "h", "stay", stay_keys=["h"])) == rows(want)
 
 
 def test_ordinal(spark):
@@ -86,20 +94,25 @@ def test_ordinal(spark):
     assert [row.ordinal for row in got] == list(range(3000))
 
 
+def test_ordinal_without_a_key_comes_last(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (5, "c"), (None, "d"), (None, "d")], "id BIGINT, x STRING")
+    got = {(row.id, row.ordinal) for row in with_ordinal(df, "id").collect()}
+    assert got == {(1, 0), (5, 1), (None, 2), (None, 3), (None, 4)}
+
+
 def test_left_join_many(spark):
     left = spark.createDataFrame([(0, "a"), (0, "a"), (1, "b"), (None, "c"), (99, "d")], "k INT, x STRING")
     right = spark.createDataFrame(hot_rows(300), "k INT, v INT")
-    for floor in (0, 50, 100_000):
-        assert rows(left_join_many(left, right, ["k"], floor)) == rows(left.join(right, "k", "left"))
+    assert rows(left_join_many(left, right, ["k"])) == rows(left.join(right, "k", "left"))
 
 
-def test_missing_keys_are_never_hot(spark):
+def test_missing_keys(spark):
     left = spark.createDataFrame([(None, 1), (1, 2), (2, 3)], "k INT, x INT")
     right = spark.createDataFrame([(None, i) for i in range(500)] + [(1, i) for i in range(5)], "k INT, v INT")
-    assert rows(left_join_many(left, right, ["k"], 0)) == rows(left.join(right, "k", "left"))
+    assert rows(left_join_many(left, right, ["k"])) == rows(left.join(right, "k", "left"))
     parents = spark.createDataFrame([(1,), (2,)], "s INT")
     visits = spark.createDataFrame([(1, None), (1, 1), (2, 7)], "s INT, k INT")
-    got = encounter_index(parents, visits, right, "s", "k", "v", stay_keys=["k"], hot_floor=0)
+    got = encounter_index(parents, visits, right, "s", "k", "v", stay_keys=["k"])
     assert (1, None, None, 1) in rows(got) and got.count() == 7
 
 
@@ -326,6 +339,65 @@ def test_statistics_keep_phrases_without_hits(spark):
     assert {(r.rank, r.doc_id) for r in peek_hits(hits, 2).collect()} == {(2, 1), (3, 2)}
 
 
+def test_no_hit_is_lost_and_no_list_grows(spark):
+    n = 50_200
+    hits = spark.range(n).select(
+        F.lit("a b").alias("phrase"), F.col("id").alias("doc_id"), (F.col("id") % 3).cast("double").alias("score")
+    )
+    catalogue = catalogue_frame(spark, [("A", "normal", "a b"), ("A", "normal", "q")])
+    got = phrase_json(hits, catalogue, 1000, value_bounds(hits, "doc_id")).collect()
+    lists = {(row.phrase, row.part): json.loads(row.ids) for row in got}
+    assert lists.pop(("q", 0)) == []
+    assert len(lists) == 51 and max(map(len, lists.values())) == 1000
+    every = [doc for part in range(51) for doc in lists["a b", part]]
+    assert every == sorted(range(n), key=lambda doc: (-(doc % 3), doc))
+
+
+def test_peeks_of_a_large_phrase(spark):
+    hits = spark.range(3000).select(
+        F.lit("p").alias("phrase"), F.col("id").alias("doc_id"), (F.col("id") % 7).cast("double").alias("score")
+    )
+    order = sorted(range(3000), key=lambda doc: (-(doc % 7), doc))
+    assert {(r.rank, r.doc_id) for r in peek_hits(hits, 11).collect()} == {(11, order[10]), (3000, order[-1])}
+    assert {(r.rank, r.doc_id) for r in peek_hits(hits.limit(5), 11).collect()} == {(5, 0)}
+
+
+def test_accented_words_stay_whole(spark):
+    got = search(spark, ["la fonction est dépressée", "d press e", "1.6cm d'été 2½"], ["d press e", "fonction est dépressée", "1.6cm d été"])
+    assert {(row.phrase, row.doc_id) for row in got.collect()} == {
+        ("d press e", 1), ("fonction est dépressée", 0), ("1.6cm d été", 2),
+    }
+
+
+def test_the_literal_is_built_at_once(spark):
+    phrases = [f"word{i} of the {i}" for i in range(105)]
+    docs = spark.createDataFrame([(1, "word7 of the 7")], "doc_id BIGINT, text STRING")
+    phrase_search(docs, "doc_id", "text", phrases).collect()
+    start = time.perf_counter()
+    phrase_search(docs, "doc_id", "text", phrases)._jdf.queryExecution().executedPlan()
+    assert time.perf_counter() - start < 3  # under 1 s on an idle machine
+
+
+def test_left_interval_join_reads_each_side_once(spark):
+    day = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+    path = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/reads"
+    spark.range(400).select(
+        (F.col("id") % 20).alias("k"), (day + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("ts"), "id"
+    ).write.mode("overwrite").parquet(path)
+    events = spark.read.parquet(path)
+    start = day + F.make_dt_interval(hours=(F.col("id") % 5).cast("int"))
+    windows = spark.range(30).select(F.col("id").alias("k"), start.alias("s"), (start + F.expr("INTERVAL 3 DAYS")).alias("e"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # large sides: both joins are shuffled
+    try:
+        joined = interval_join(windows, events, ["k"], "ts", "s", "e")
+        assert joined.filter("id IS NULL").count() == 10
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("FileScan") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_a_document_can_be_in_several_severities(spark):
     catalogue = catalogue_frame(spark, [("A", "severely", "severe x"), ("A", "mild", "x")])
     hits = search(spark, ["severe x", "x"], ["severe x", "x"])

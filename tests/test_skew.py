@@ -6,16 +6,23 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortloom.operators.encounters import build_cohort, encounter_index
+from cohortloom.operators.encounters import build_cohort, encounter_index, first_encounters
 from cohortloom.operators.joins import (
     classify_last_wins,
     existence_flags,
-    hot_keys,
     interval_summary,
     keep_matching,
     left_join_many,
 )
-from cohortloom.operators.ranking import repeat_rows, with_dense_rank
+from cohortloom.operators.ranking import (
+    ranked,
+    repeat_rows,
+    top_k,
+    value_bounds,
+    with_dense_rank,
+    with_ordinal,
+    with_range,
+)
 from cohortloom.session import tuned
 
 LOW = {
@@ -59,7 +66,7 @@ def same(a, b):
 def test_left_join(low_limits):
     left = low_limits.range(5000).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("x"))
     right = hot(low_limits)
-    got = left_join_many(left, right, ["k"], hot_floor=1000)
+    got = left_join_many(left, right, ["k"])
     assert split(got)
     assert same(got, left.join(right, "k", "left"))
 
@@ -68,13 +75,10 @@ def test_left_join(low_limits):
 def test_encounter_index(low_limits, copies):
     parents = low_limits.range(3000).select(F.col("id").cast("int").alias("s"))
     visits = hot(low_limits, 30_000, 2500).select(F.col("k").alias("s"), F.col("n").cast("int").alias("k"))
-    # Different stays of the hot admission are spread by their blocks, copies of one stay are counted.
+    # Different stays of the hot admission are spread by their ranges, copies of one stay are counted.
     stay = F.when(F.col("k") == 0, 17).otherwise(F.col("v")) if copies else F.col("v")
     stays = hot(low_limits).select("k", stay.cast("bigint").alias("stay"))
-    got = encounter_index(parents, visits, stays, "s", "k", "stay", stay_keys=["k"], hot_floor=1000)
-    assert {row._key for row in hot_keys(stays, ["k"], 1000).collect()} == {
-        low_limits.range(1).select(F.xxhash64(F.lit(0))).first()[0]
-    }
+    got = encounter_index(parents, visits, stays, "s", "k", "stay", stay_keys=["k"])
     joined = parents.join(visits, "s", "left").join(stays, "k", "left")
     window = W.partitionBy("s", "k").orderBy(F.col("stay").asc_nulls_last())
     want = joined.select("s", "k", "stay", F.dense_rank().over(window).cast("bigint").alias("ind"))
@@ -143,3 +147,69 @@ def test_interval_summary_spreads_a_hot_key(low_limits):
     )
     want = joined.groupBy("id", "w.k", "s", "e").agg(F.count("ts").alias("n"))
     assert same(got, want)
+
+
+def many_just_under(spark, keys=2000, each=120):
+    """Every key holds just under a thousandth of the rows."""
+    row = F.col("id")
+    return spark.range(0, keys * each, 1, 12).select(
+        (row % keys).cast("int").alias("k"), F.xxhash64(row).alias("v"), row.alias("n")
+    )
+
+
+@pytest.mark.parametrize("layout", [1, 7, 16])
+def test_forms_do_not_depend_on_the_layout(low_limits, layout):
+    low_limits.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        rows = many_just_under(low_limits, 300, 40).repartition(layout)
+        left = low_limits.range(400).select(F.col("id").cast("int").alias("k"))
+        assert same(left_join_many(left, rows, ["k"]), left.join(rows, "k", "left"))
+        parents = low_limits.range(50).select(F.col("id").cast("int").alias("s"))
+        visits = low_limits.range(320).select((F.col("id") % 45).cast("int").alias("s"), F.col("id").cast("int").alias("k"))
+        stays = rows.select("k", F.col("v").alias("stay"))
+        got = encounter_index(parents, visits, stays, "s", "k", "stay", stay_keys=["k"])
+        joined = parents.join(visits, "s", "left").join(stays, "k", "left")
+        window = W.partitionBy("s", "k").orderBy(F.col("stay").asc_nulls_last())
+        assert same(got, joined.select("s", "k", "stay", F.dense_rank().over(window).cast("bigint").alias("ind")))
+    finally:
+        low_limits.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_many_keys_just_under_a_share(low_limits):
+    rows = many_just_under(low_limits)
+    left = low_limits.range(2500).select(F.col("id").cast("int").alias("k"))
+    assert same(left_join_many(left, rows, ["k"]), left.join(rows, "k", "left"))
+
+
+def test_first_encounters_are_the_first_of_the_index(low_limits):
+    parents = low_limits.range(3000).select(F.col("id").cast("int").alias("s"))
+    visits = hot(low_limits, 30_000, 2500).select(F.col("k").alias("s"), F.col("n").cast("int").alias("k")).distinct()
+    stays = hot(low_limits).select("k", F.when(F.col("v") % 9 > 0, F.col("v") % 50).alias("stay"))
+    arguments = (parents, visits, stays, "s", "k", "stay", ["k"])
+    index = encounter_index(*arguments).filter("ind = 1 AND k IS NOT NULL")
+    assert same(first_encounters(*arguments), index)
+
+
+def test_ordinal_windows_stay_small(low_limits):
+    rows = many_just_under(low_limits).select("v", "n")
+    bounds = value_bounds(rows, "v")
+    largest = with_range(rows, "v", bounds).groupBy("_range").count().agg(F.max("count")).first()[0]
+    assert largest < rows.count() / 20
+    got = with_ordinal(rows, "v")
+    assert same(got, rows.withColumn("ordinal", (F.row_number().over(W.orderBy("v")) - 1).cast("bigint")))
+
+
+def test_top_k_of_one_group_with_most_rows(low_limits):
+    rows = hot(low_limits).select(F.when(F.col("k") % 5 > 0, 1).otherwise(0).alias("g"), "v", "n")
+    order = [F.col("v").desc(), F.col("n").asc()]
+    got = top_k(rows, ["g"], order, 3000, "n", parts=16)
+    want = rows.withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy(*order))).filter("rank <= 3000")
+    assert same(got, want)
+
+
+def test_ranked_rows_of_a_large_group(low_limits):
+    rows = hot(low_limits).select(F.lit("p").alias("phrase"), (F.col("v") % 7).cast("double").alias("score"), "n")
+    got = ranked(rows, ["phrase"], "score", "n")
+    order = W.partitionBy("phrase").orderBy(F.col("score").desc(), "n")
+    want = rows.withColumn("rank", F.row_number().over(order).cast("bigint")).withColumn("n_rows", F.lit(rows.count()).cast("bigint"))
+    assert same(got, want)
