@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -10,15 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# --- scratch tables ---------------------------------------------------------------------------------------------
-
+from ..session import scratch_folder
 
-def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A new folder name below the folder all executors share (``spark.checkpoint.dir``)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+# --- scratch tables ---------------------------------------------------------------------------------------------
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -27,7 +20,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     The files must live as long as the lazy result that reads them, so the caller's checkpoint folder keeps them; it
     is emptied by whoever owns it.
     """
-    path = scratch_path(df.sparkSession, purpose)
+    path = scratch_folder(df.sparkSession, purpose)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_folder
 from . import fingerprints, maxent, ngram_join, packing, pii, prefix_bpe, quality, substring, token_counts, token_files
-from .common import scratch_path
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "token-files")
+    path = scratch_folder(spark, "token-files")
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     token_files.write_token_files(_documents(spark, sf), path, vocabulary, end_id=0)
     return token_files.token_file_report(spark, path)
