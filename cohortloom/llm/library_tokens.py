@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import struct
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -10,9 +12,13 @@ from tokenizers import Tokenizer
 
 from .bpe_pieces import ChunkMemo
 from .common import Memo
+from .token_counts import byte_letters
 
 # White space for Python that is none for the library's patterns; texts with it are given to the library as a whole.
 _UNCOMMON = re.compile("[\x1c-\x1f]")
+# One run of plain letters, and a mark behind it: two pieces for any of the vocabularies, and no letter that a
+# normaliser would change but for its case.
+_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 
 
 class LibraryEncoder:
@@ -20,7 +26,7 @@ class LibraryEncoder:
 
     The library's own normaliser, splitter and model do the work; a memo keeps what they give for a chunk. Texts with
     a special string, or with characters for which a text may not be cut, go through the library as a whole.
-    ``words`` is set for vocabularies that drop white space: such texts are cut there.
+    ``words`` is set for vocabularies in lower case that drop white space: such texts are cut there.
     """
 
     def __init__(self, path: str, words: bool = False):
@@ -29,18 +35,39 @@ class LibraryEncoder:
         self.whole.no_padding()
         self.words = words
         self.special = [token.content for token in self.whole.get_added_tokens_decoder().values()]
-        self.pieces = Memo(self._piece, 400_000)
+        self.letters = dict(enumerate(byte_letters()))
+        # Byte-level vocabularies spell a plain word by its bytes; asked of the library, not assumed.
+        probe = "aé" if words else " aé"
+        self.by_bytes = [piece for piece, _ in self.whole.pre_tokenizer.pre_tokenize_str(probe)] == [self._letters(probe)]
+        self.plain = Memo(self._plain, 400_000)
+        self.marks = Memo(self._spelled, 10_000)
         self.chunks = ChunkMemo(self._chunk)
         self.parts = Memo(self._chunk)
 
-    def _piece(self, piece: str) -> bytes:
-        return np.array([token.id for token in self.whole.model.tokenize(piece)], "<u4").tobytes()
+    def _letters(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.letters)
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _ids(self, pieces: Iterable[str]) -> bytes:
+        tokenize = self.whole.model.tokenize
+        ids = [token.id for piece in pieces for token in tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _plain(self, word: str) -> bytes:
+        return self._ids([self._letters(word)]) if self.by_bytes else self._spelled(word)
+
+    def _spelled(self, chunk: str) -> bytes:
         if self.whole.normalizer is not None:
             chunk = self.whole.normalizer.normalize_str(chunk)
-        pieces = self.whole.pre_tokenizer.pre_tokenize_str(chunk)
-        return b"".join([self.pieces[piece] for piece, _ in pieces])
+        return self._ids(piece for piece, _ in self.whole.pre_tokenizer.pre_tokenize_str(chunk))
+
+    def _chunk(self, chunk: str) -> bytes:
+        plain = _PLAIN(chunk)
+        if plain is None:
+            return self._spelled(chunk)
+        word, mark = plain.groups()
+        if self.words:
+            word = word.lower()
+        return self.plain[word] + self.marks[mark] if mark else self.plain[word]
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
