@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_folder
+from ..session import remove_folder, scratch_folder
 
 # --- scratch tables ---------------------------------------------------------------------------------------------
 
@@ -17,12 +17,20 @@ from ..session import scratch_folder
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write the frame to the shared folder and read it back: later steps survive lost executors and do not repeat it.
 
-    The files must live as long as the lazy result that reads them, so the caller's checkpoint folder keeps them; it
-    is emptied by whoever owns it.
+    Files that a lazy result reads must outlive it, so they stay until the owner of the shared folder empties it;
+    ``discard`` removes what no result needs any more.
     """
     path = scratch_folder(df.sparkSession, purpose)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._scratch_path = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove the files of stored frames that nothing will read again."""
+    for frame in frames:
+        remove_folder(frame.sparkSession, frame._scratch_path)
 
 
 # --- Arrow batches ----------------------------------------------------------------------------------------------

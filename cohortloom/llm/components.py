@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup_join
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -19,8 +19,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
     current, before = stored(pairs, "edges"), None
     while (mark := _mark(current)) != before:
-        before = mark
-        current = stored(_small(_large(current)), "edges")
+        before, last = mark, current
+        current = stored(_small(_large(last)), "edges")
+        discard(last)
     return current.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

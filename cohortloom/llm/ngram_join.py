@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup_join
-from .common import gram_hashes, hashed_words, list_array, map_batches, partitions, signed, stored, texts_of
+from .common import discard, gram_hashes, hashed_words, list_array, map_batches, mixed, partitions, signed, stored, texts_of
 from .components import components
 
 N, PERCENT = 5, 80
@@ -125,6 +125,60 @@ def linked_groups(sets: Sequence[np.ndarray], percent: int = PERCENT) -> Iterato
                     yield i, j
 
 
+# --- sketches ---------------------------------------------------------------------------------------------------
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """How many shingles fall into each of 2^k cells of a second hash, about four a cell, a byte each.
+
+    Two sets share at most the sum of the smaller counts, so a sketch rules pairs out and never one that links. Empty
+    if a count does not fit a byte: nothing is ruled out then.
+    """
+    bits = _cell_bits(len(shingles))
+    counts = np.bincount((mixed(shingles ^ _SECOND) >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 128 else b""
+
+
+_SECOND = _U(0x243F6A8885A308D3)
+
+
+def _cell_bits(size: int) -> int:
+    return max(6, (max(1, size // 4) - 1).bit_length())
+
+
+def possible_partners(sizes: Sequence[int], sketches: Sequence[bytes], percent: int = PERCENT) -> np.ndarray:
+    """Which sets, given by rising size, may be alike to another of them, as far as sizes and sketches tell."""
+    sizes = np.array(sizes, np.int64)
+    marked = np.zeros(len(sizes), bool)
+    bits = np.array([_cell_bits(n) for n in sizes.tolist()])
+    missing = np.array([not part for part in sketches])
+    last = np.searchsorted(sizes * percent, sizes * 100, "right")  # sets after this one are too large
+    tables: dict[int, tuple[int, np.ndarray]] = {}
+    for k in np.unique(bits).tolist():
+        # Larger sets have one more bit at most if they may be alike; neighbouring cells are added up.
+        low, high = np.searchsorted(bits, [k, k + 2]).tolist()
+        rows = np.zeros((high - low, 1 << k), np.uint8)
+        for i in range(low, high):
+            if sketches[i]:
+                counts = np.frombuffer(sketches[i], np.uint8)
+                rows[i - low] = counts if bits[i] == k else counts.reshape(-1, 2).sum(axis=1)
+        tables[k] = low, rows
+    for i in range(len(sizes)):
+        low, rows = tables[int(bits[i])]
+        others = np.arange(i + 1, last[i])
+        if marked[i]:
+            others = others[~marked[others]]
+        if not len(others):
+            continue
+        most = np.minimum(rows[others - low], rows[i - low]).sum(axis=1, dtype=np.int64)
+        most[missing[others] | missing[i]] = sizes[i]
+        may = others[100 * most >= percent * (sizes[i] + sizes[others] - most)]
+        if len(may):
+            marked[may] = True
+            marked[i] = True
+    return marked
+
+
 # --- steps ------------------------------------------------------------------------------------------------------
 
 
@@ -161,110 +215,146 @@ def frequency_levels(texts: DataFrame, n: int) -> np.ndarray:
     return levels
 
 
-def _prefixes(rows: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """(id, rid, n_shingles, content, prefix): the set's size and digest, and the shingles that must meet a partner's."""
+def _sets(rows: DataFrame, n: int) -> DataFrame:
+    """(id, rid, n_shingles, content, mark, sketch): size and digest of each set; ``mark`` is half of the digest."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        order_by = levels.value
-        encoded = [text.encode().lower() for text in batch.column(2).to_pylist()]
-        sizes, digests, prefixes = [], [], []
-        for _, words in hashed_words(encoded):
-            found = shingle_set(words, n)
-            sizes.append(len(found))
-            digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-            length = len(found) - least_overlap(len(found), percent) + 1 if len(found) else 0
-            order = np.argsort(order_by[_cells_of(found)], kind="stable")
-            prefixes.append(signed(found[order[:length]]))
+        found = [shingle_set(words, n) for _, words in hashed_words(_lowered(batch.column(2)))]
+        digests = [hashlib.blake2b(part.tobytes(), digest_size=16).digest() for part in found]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 batch.column(1),
-                pa.array(sizes, pa.int64()),
+                pa.array([len(part) for part in found], pa.int64()),
                 pa.array(digests, pa.binary()),
-                list_array(prefixes, pa.int64()),
+                pa.array([_mark(digest) for digest in digests], pa.int64()),
+                pa.array([sketch(part) if len(part) else b"" for part in found], pa.binary()),
             ],
-            ["id", "rid", "n_shingles", "content", "prefix"],
+            ["id", "rid", "n_shingles", "content", "mark", "sketch"],
         )
 
-    schema = "id bigint, rid bigint, n_shingles bigint, content binary, prefix array<bigint>"
+    schema = "id bigint, rid bigint, n_shingles bigint, content binary, mark bigint, sketch binary"
     return map_batches(rows, step, schema)
 
 
-def _shared(sets: DataFrame) -> DataFrame:
-    """(shingle, id, rid, size) where a prefix shingle is shared; of equal sets the first document stands for all."""
-    first = (
-        sets.filter(F.col("n_shingles") > 0)
-        .groupBy("content")
-        .agg(
-            F.min(F.struct("id", "rid")).alias("first"),
-            F.any_value("n_shingles").alias("size"),
-            F.any_value("prefix").alias("prefix"),
-        )
+def _lowered(texts: pa.Array) -> list[bytes]:
+    return [text.encode().lower() for text in texts.to_pylist()]
+
+
+def _mark(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def _shared(rows: DataFrame, levels, n: int, percent: int) -> DataFrame:
+    """(key, mark, size): the prefix shingles that sets of different content share; equal sets give one row."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        order_by = levels.value
+        shingles, marks, sizes = [], [], []
+        for _, words in hashed_words(_lowered(batch.column(0))):
+            found = shingle_set(words, n)
+            length = len(found) - least_overlap(len(found), percent) + 1 if len(found) else 0
+            order = np.argsort(order_by[_cells_of(found)], kind="stable")
+            shingles.append(signed(found[order[:length]]))
+            marks.append(np.full(length, _mark(hashlib.blake2b(found.tobytes(), digest_size=16).digest())))
+            sizes.append(np.full(length, len(found), np.int32))
+        columns = [pa.array(np.concatenate(column)) for column in (shingles, marks, sizes)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "mark", "size"])
+
+    found = map_batches(rows.select("text"), step, "key bigint, mark bigint, size int")
+    # A shingle's rows come from texts that have nothing rarer to offer: a small share of all rows.
+    same = W.partitionBy("key")
+    known = found.withColumn("_low", F.min("mark").over(same)).withColumn("_high", F.max("mark").over(same))
+    return known.filter(F.col("_low") != F.col("_high")).select("key", "mark", "size").distinct()
+
+
+def _cells(shared: DataFrame) -> DataFrame:
+    """The members of one shingle for each group of shingles that have the same ones."""
+    marks = shared.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("mark")).alias("x"), F.bit_xor(F.xxhash64("mark", F.lit(1))).alias("y")
     )
-    rows = first.select(F.explode("prefix").alias("shingle"), "first.id", "first.rid", "size")
-    # A shingle's rows are one per distinct set that has nothing rarer to offer: a small share of all rows.
-    times = F.count(F.lit(1)).over(W.partitionBy("shingle"))
-    return rows.withColumn("_n", times).filter(F.col("_n") > 1).drop("_n")
+    return shared.join(marks.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
 
 
-def _groups(shared: DataFrame, percent: int, block: int) -> DataFrame:
-    """(work, id, rid): members of the cells, cut into pieces of work of at most two blocks.
+def _work(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """(work, mark): groups of (key, mark, size), cut into pieces of work of at most two blocks.
 
-    Shingles with the same members give one cell. By rising size, a cell falls apart where a set is too large for the
-    one before; single sets are left out. Large parts are cut into blocks of neighbouring sizes, and every two blocks
-    whose sizes allow links are one piece of work.
+    By rising size, a group falls apart where a set is too large for the one before; single sets are left out. Large
+    parts are cut into blocks of neighbouring sizes, and every two blocks whose sizes allow links are one piece of work.
     """
-    members = F.xxhash64("rid")
-    marks = shared.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(members).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")
-    )
-    cells = marks.groupBy("n", "x", "y").agg(F.min("shingle").alias("shingle")).select("shingle")
-    chosen = shared.join(cells, "shingle")
-    by_size = W.partitionBy("shingle").orderBy("size", "rid")
+    by_size = W.partitionBy("key").orderBy("size", "mark")
     gap = F.col("size") * percent > F.lag("size", 1, 0).over(by_size) * 100
-    parted = chosen.withColumn("_gap", gap.cast("int")).withColumn("part", F.sum("_gap").over(by_size)).drop("_gap")
-    inside = W.partitionBy("shingle", "part")
+    parted = members.withColumn("_gap", gap.cast("int")).withColumn("part", F.sum("_gap").over(by_size)).drop("_gap")
+    inside = W.partitionBy("key", "part")
     placed = (
         parted.withColumn("_n", F.count(F.lit(1)).over(inside))
         .filter(F.col("_n") > 1)
-        .withColumn("block", F.floor((F.row_number().over(inside.orderBy("size", "rid")) - 1) / block).cast("int"))
+        .withColumn("block", F.floor((F.row_number().over(inside.orderBy("size", "mark")) - 1) / block).cast("int"))
     )
-    key = ["shingle", "part"]
+    key = ["key", "part"]
     blocks = placed.groupBy(*key, "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     left = blocks.select(*key, F.col("block").alias("a"), F.col("high"))
     right = blocks.select(*key, F.col("block").alias("b"), F.col("low"))
     near = left.join(right, key).filter((F.col("a") <= F.col("b")) & (F.col("low") * percent <= F.col("high") * 100))
     work = near.select(*key, F.xxhash64(*key, "a", "b").alias("work"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    return placed.join(work, [*key, "block"]).select("work", "id", "rid")
+    return placed.join(work, [*key, "block"]).select("work", "mark")
 
 
-def _links(work: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): links found by searching every piece of work; each stays in one task, in order."""
+def _together(rows: DataFrame) -> DataFrame:
+    """The rows of a piece of work one behind the other in one task."""
+    return rows.repartition(partitions(rows.sparkSession), "work").sortWithinPartitions("work")
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, ids, texts = None, [], []
 
-        def finish() -> pa.RecordBatch:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of one piece of work after the other."""
+    current, rows = None, []
+    for batch in batches:
+        for row in zip(*(column.to_pylist() for column in batch.columns)):
+            if row[0] != current and rows:
+                yield rows
+                rows = []
+            current = row[0]
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _promising(work: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(key, mark, size): the members that may link to another of their piece, by their sketches; texts stay behind.
+
+    ``key`` is the smallest id among them. Pieces with the same smallest document become one group, so near copies that
+    share many cells are not compared in each of them.
+    """
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _pieces(batches):
+            rows.sort(key=lambda row: row[3])
+            stay = possible_partners([row[3] for row in rows], [row[4] for row in rows], percent)
+            found = [row for row, yes in zip(rows, stay.tolist()) if yes]
+            if found:
+                key = min(row[1] for row in found)
+                columns = [[key] * len(found), [row[2] for row in found], [row[3] for row in found]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "mark", "size"])
+
+    rows = known.join(work, "mark").select("work", "id", "mark", "size", "sketch")
+    return _together(rows).mapInArrow(sift, "key bigint, mark bigint, size bigint").distinct()
+
+
+def _links(work: DataFrame, known: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): links found by searching every piece of work."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
+            texts = [text.encode().lower() for _, _, text in piece]
             sets = [shingle_set(words, n) for _, words in hashed_words(texts)]
             order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
             found = list(linked_groups([sets[i] for i in order], percent))
-            ends = [pa.array([ids[order[pair[side]]] for pair in found], pa.int64()) for side in (0, 1)]
-            return pa.RecordBatch.from_arrays(ends, ["a", "b"])
+            ends = [pa.array([piece[order[pair[side]]][1] for pair in found], pa.int64()) for side in (0, 1)]
+            yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
-        for batch in batches:
-            for key, doc, text in zip(*(column.to_pylist() for column in batch.columns)):
-                if key != current:
-                    if texts:
-                        yield finish()
-                    current, ids, texts = key, [], []
-                ids.append(doc)
-                texts.append(text.encode().lower())
-        if texts:
-            yield finish()
-
-    texts = rows.select("rid", "text").join(work, "rid").select("work", "id", "text")
-    together = texts.repartition(partitions(rows.sparkSession), "work").sortWithinPartitions("work")
-    return together.mapInArrow(search, "a bigint, b bigint").distinct()
+    named = work.join(known.select("mark", "rid", "id"), "mark").select("work", "rid", "id")
+    texts = rows.select("rid", "text").join(named, "rid").select("work", "id", "text")
+    return _together(texts).mapInArrow(search, "a bigint, b bigint").distinct()
 
 
 def similar_documents(
@@ -283,10 +373,25 @@ def similar_documents(
         F.coalesce("doc_id", F.lit(lowest)).alias("id"), F.xxhash64("doc_id", "text").alias("rid"), "text"
     )
     levels = spark.sparkContext.broadcast(frequency_levels(rows, n))  # 16 MB
-    sets = stored(_prefixes(rows, levels, n, percent), "shingle-sets")
-    shared = stored(_shared(sets), "shared-shingles")
-    links = stored(_links(_groups(shared, percent, block), rows, n, percent), "links")
+    sets = stored(_sets(rows, n), "shingle-sets")
+    # Of rows with equal sets the one with the smallest id stands for all.
+    known = (
+        sets.filter(F.col("n_shingles") > 0)
+        .groupBy("content", "mark")
+        .agg(
+            F.min(F.struct("id", "rid")).alias("first"),
+            F.any_value("n_shingles").alias("size"),
+            F.any_value("sketch").alias("sketch"),
+        )
+        .select("mark", "first.id", "first.rid", "size", "sketch")
+    )
+    shared = stored(_shared(rows, levels, n, percent), "shared-shingles")
+    groups = stored(_promising(_work(_cells(shared), percent, block), known, percent), "promising")
+    links = stored(_links(_work(groups, percent, block), known, rows, n, percent), "links")
+    discard(groups)
+    discard(shared)
     reached = components(links, "a", "b")
+    discard(links)
     # Of rows with equal sets the smallest id is their node.
     nodes = sets.filter(F.col("n_shingles") > 0).groupBy("content").agg(F.min("id").alias("node"))
     known = lookup_join(sets.select("id", "n_shingles", "content"), nodes, ["content"], "left")
