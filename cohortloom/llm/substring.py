@@ -13,6 +13,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup_join
@@ -74,135 +75,160 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), row_key("doc_id", "text").alias("rid"), "text")
 
 
-def _anchor_rows(rows: DataFrame, length: int, seed: int) -> DataFrame:
-    """(id, rid, n_words, sequence, places, seeds): a digest of the whole word sequence and the anchors of each text."""
+def _sequences(rows: DataFrame) -> DataFrame:
+    """(id, rid, n_words, sequence): a digest of the whole word sequence of each text."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [text.encode() for text in batch.column(2).to_pylist()]
-        found = [(words, *anchors(words, length, seed)) for _, words in hashed_words(texts)]
-        sequence = [hashlib.blake2b(words.tobytes(), digest_size=16).digest() for words, _, _ in found]
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                batch.column(1),
-                pa.array([len(words) for words, _, _ in found], pa.int64()),
-                pa.array(sequence, pa.binary()),
-                list_array([places for _, places, _ in found], pa.int32()),
-                list_array([signed(hashes) for _, _, hashes in found], pa.int64()),
-            ],
-            ["id", "rid", "n_words", "sequence", "places", "seeds"],
-        )
+        found = [words for _, words in hashed_words([text.encode() for text in batch.column(2).to_pylist()])]
+        digests = [hashlib.blake2b(words.tobytes(), digest_size=16).digest() for words in found]
+        n = pa.array([len(words) for words in found], pa.int64())
+        arrays = [batch.column(0), batch.column(1), n, pa.array(digests, pa.binary())]
+        return pa.RecordBatch.from_arrays(arrays, ["id", "rid", "n_words", "sequence"])
+
+    return map_batches(rows.select("id", "rid", "text"), step, "id bigint, rid bigint, n_words bigint, sequence binary")
+
+
+def _seed_rows(rows: DataFrame, length: int, seed: int) -> DataFrame:
+    """(seed, id, place) of the anchors of every text."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [text.encode() for text in batch.column(1).to_pylist()]
+        found = [(np.full(len(places), i), places, hashes) for i, places, hashes in _all_anchors(texts, length, seed)]
+        rows_of, places, hashes = (np.concatenate(column) for column in zip(*found))
+        arrays = [pa.array(signed(hashes)), batch.column(0).take(pa.array(rows_of)), pa.array(places.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(arrays, ["seed", "id", "place"])
+
+    return map_batches(rows.select("id", "text"), step, "seed bigint, id bigint, place int")
+
 
-    schema = "id bigint, rid bigint, n_words bigint, sequence binary, places array<int>, seeds array<bigint>"
-    return map_batches(rows.select("id", "rid", "text"), step, schema)
+def _all_anchors(texts: list[bytes], length: int, seed: int):
+    for i, words in hashed_words(texts):
+        yield i, *anchors(words, length, seed)
 
 
 def _anchor_windows(rows: DataFrame, length: int, seed: int) -> DataFrame:
-    """(seed, id, rid, place, first, windows) for each wanted anchor of (id, rid, text, wanted).
+    """(seed, id, rid, place, first, windows, leads) for each wanted anchor of (id, rid, text, wanted).
 
     The windows an anchor stands for begin at neighbouring words: ``first`` is the first of them, ``windows`` holds
-    their hashes in order.
+    their hashes in order. ``wanted`` lists (place, mine): mine where no document with a smaller id has the seed; the
+    first of those in the text leads all occurrences of the seed.
     """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [text.encode() for text in batch.column(2).to_pylist()]
         wanted = batch.column(3).to_pylist()
-        seeds, rows_of, places, firsts, hashes = [], [], [], [], []
+        parts: list[tuple] = []
+        hashes: list[np.ndarray] = []
         for i, words in hashed_words(texts):
-            at = np.unique(np.array(wanted[i], np.int64))
+            grams = gram_hashes(words, seed)
+            mine = {item["place"]: item["mine"] for item in wanted[i] if item["place"] < len(grams)}
+            at = np.array(sorted(mine), np.int64)
+            if not len(at):
+                continue
             starts, window, number = _windows_of(words, at, length, seed)
             cuts = np.searchsorted(number, np.arange(len(at) + 1))
-            seeds.append(signed(gram_hashes(words, seed)[at]))
-            rows_of.append(np.full(len(at), i))
-            places.append(at)
-            firsts.append(starts[cuts[:-1]])
-            hashes += [signed(window[a:b]) for a, b in zip(cuts, cuts[1:])]
-        number = pa.array(np.concatenate(rows_of))
+            seen: set[int] = set()
+            leads = []
+            for place, gram in zip(at.tolist(), grams[at].tolist()):
+                leads.append(mine[place] and gram not in seen)
+                if mine[place]:
+                    seen.add(gram)
+            used = np.flatnonzero(np.diff(cuts))  # of rows with one id, a place may be no anchor of this one
+            parts.append((np.full(len(used), i), grams[at[used]], at[used], starts[cuts[used]], np.array(leads)[used]))
+            hashes += [signed(window[cuts[u] : cuts[u + 1]]) for u in used]
+        if not hashes:
+            return None
+        rows_of, grams, places, firsts, leads = (np.concatenate(column) for column in zip(*parts))
+        number = pa.array(rows_of)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate(seeds)),
+                pa.array(signed(grams)),
                 batch.column(0).take(number),
                 batch.column(1).take(number),
-                pa.array(np.concatenate(places).astype(np.int32)),
-                pa.array(np.concatenate(firsts).astype(np.int32)),
+                pa.array(places.astype(np.int32)),
+                pa.array(firsts.astype(np.int32)),
                 list_array(hashes, pa.int64()),
+                pa.array(leads),
             ],
-            ["seed", "id", "rid", "place", "first", "windows"],
+            ["seed", "id", "rid", "place", "first", "windows", "leads"],
         )
 
-    schema = "seed bigint, id bigint, rid bigint, place int, first int, windows array<bigint>"
+    schema = "seed bigint, id bigint, rid bigint, place int, first int, windows array<bigint>, leads boolean"
     return map_batches(rows.select("id", "rid", "text", "wanted"), step, schema, 500)
 
 
 def _later(windows: DataFrame, length: int) -> DataFrame:
-    """(rid, id, low, high): runs of words covered by windows that also start earlier.
+    """(id, rid, low, high): runs of words covered by windows that also start earlier.
 
-    The earliest occurrence of a seed meets all others; of those, the windows that agree with it are later copies.
-    Windows that do not agree cannot be in it, and are compared among themselves by seed and hash.
+    The leading occurrence of a seed, the earliest, meets all others; of those, the windows that agree with it are later
+    copies. Windows that do not agree cannot be in it, and are compared among themselves by seed and hash.
     """
-    earliest = windows.groupBy("seed").agg(F.min(F.struct("id", "place", "first", "windows")).alias("e"))
-    beside = lookup_join(windows, earliest, ["seed"]).filter(F.struct("id", "place") != F.struct("e.id", "e.place"))
-    shift = (F.col("first") - F.col("place")) - (F.col("e.first") - F.col("e.place"))
+    leading = windows.filter("leads").select(
+        "seed", (F.col("first") - F.col("place")).alias("e_from"), F.col("windows").alias("e_windows")
+    )
+    beside = windows.filter(~F.col("leads")).drop("leads").join(leading, "seed")
+    shift = F.col("first") - F.col("place") - F.col("e_from")
 
     def window(w, i):
-        other = F.when(i + shift >= 0, F.get("e.windows", i + shift))
+        other = F.when(i + shift >= 0, F.get("e_windows", i + shift))
         return F.struct((F.col("first") + i).alias("start"), w.alias("w"), F.coalesce(other == w, F.lit(False)).alias("same"))
 
+    def covered(all_: Column) -> Column:
+        # Extending both ways from the seed, the windows that agree are neighbours: one run, and sure.
+        starts = F.transform(F.filter(all_, lambda x: x.same), lambda x: x.start)
+        run = F.struct(
+            F.lit(True).alias("sure"), F.array_min(starts).alias("low"), F.array_max(starts).alias("last"), F.lit(0).cast("bigint").alias("w")
+        )
+        rest = F.transform(
+            F.filter(all_, lambda x: ~x.same),
+            lambda x: F.struct(F.lit(False).alias("sure"), x.start.alias("low"), x.start.alias("last"), F.xxhash64("seed", x.w).alias("w")),
+        )
+        return F.when(F.size(starts) > 0, F.concat(F.array(run), rest)).otherwise(rest)
+
     marked = beside.select("seed", "id", "rid", F.transform("windows", window).alias("all"))
-    # Extending both ways from the seed, the windows that agree are neighbours.
-    agreed = marked.select("rid", "id", F.transform(F.filter("all", lambda x: x.same), lambda x: x.start).alias("starts"))
-    agreed = agreed.filter(F.size("starts") > 0).select(
-        "rid", "id", F.array_min("starts").alias("low"), (F.array_max("starts") + length).alias("high")
-    )
-    rest = marked.select("seed", "id", "rid", F.explode(F.filter("all", lambda x: ~x.same)).alias("x"))
-    rest = rest.select("seed", F.col("x.w").alias("w"), "id", "rid", F.col("x.start").alias("start"))
-    firsts = rest.groupBy("seed", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "start")).alias("f"))
-    again = lookup_join(rest, firsts.filter(F.col("n") > 1).drop("n"), ["seed", "w"])
-    again = again.filter(F.struct("id", "start") != F.col("f"))
-    return agreed.unionByName(again.select("rid", "id", F.col("start").alias("low"), (F.col("start") + length).alias("high")))
+    rows = marked.select("id", "rid", "seed", F.explode(F.array("all")).alias("all")).select("id", "rid", F.inline(covered(F.col("all"))))
+    # One pass for both sorts of rows: runs that are sure are spread by their place, windows meet by their hash.
+    key = F.when(F.col("sure"), F.xxhash64("rid", "low")).otherwise(F.col("w"))
+    spread = rows.select("id", "rid", "sure", "low", (F.col("last") + length).alias("high"), key.alias("key"))
+    earliest = F.min(F.struct("id", "low")).over(W.partitionBy("key", "sure"))
+    later = spread.withColumn("_e", earliest).filter(F.col("sure") | (F.struct("id", "low") != F.col("_e")))
+    return later.select("id", "rid", "low", "high")
 
 
 def repeat_runs(docs: DataFrame, length: int = LENGTH, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, whole, runs): the repeated passages of the rows of ``docs`` that have some, by ``row_key``.
+    """(id, found): the repeated passages of the documents that have some.
 
-    ``runs`` lists (low, high) of words covered by windows of ``length`` words that also start earlier: in a document
-    with a smaller id, or further ahead in the same one. ``whole`` marks documents that repeat the word sequence of an
-    earlier one from end to end; their runs are not listed.
+    ``found`` lists (rid, low, high): words [low, high) of the row ``rid`` are covered by windows of ``length`` words
+    that also start earlier, in a document with a smaller id or further ahead in the same one. A document that repeats
+    the word sequence of an earlier one from end to end has one run of all its words.
 
-    Of equal word sequences only the earliest goes on, so copies cost nothing further. Seeds that stand in one place
-    only are dropped by a count before any window is made. A null text is empty. Rows with the same id count as the
-    same document, and null ids as one id before all others; repeated rows get the same result.
+    Copies from end to end are found by a digest, and make no windows. Seeds that stand in one place only are dropped
+    by a count before any window is made. A null text is empty. Rows with the same id count as the same document, and
+    null ids as one id before all others; repeated rows get the same result.
     """
     keyed = _keyed(docs, id_col, text_col)
-    texts = stored(_anchor_rows(keyed, length, seed), "anchors")
-    sequences = stored(
-        texts.groupBy("sequence").agg(
-            F.min(F.struct("id", "rid")).alias("first"), F.any_value("places").alias("places"), F.any_value("seeds").alias("seeds")
-        ),
-        "sequences",
-    )
-    seeds = sequences.select(F.col("first.rid").alias("rid"), F.inline(F.arrays_zip("places", "seeds")))
-    seeds = seeds.select("rid", F.col("places").alias("place"), F.col("seeds").alias("seed"))
-    shared = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("seed")
-    wanted = lookup_join(seeds, shared, ["seed"]).groupBy("rid").agg(F.collect_set("place").alias("wanted"))
-    windows = stored(_anchor_windows(keyed.join(wanted, "rid").select("id", "rid", "text", "wanted"), length, seed), "windows")
-    runs = _later(windows, length).groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
-    firsts = sequences.select("sequence", "first")
-    marked = lookup_join(texts.select("id", "rid", "n_words", "sequence"), firsts, ["sequence"]).select(
-        "rid", "n_words", F.col("first.rid").alias("like"), (F.col("first.id") < F.col("id")).alias("copied")
-    )
-    marked = marked.withColumn("whole", F.col("copied") & (F.col("n_words") >= length))
-    with_runs = marked.join(runs.withColumnRenamed("rid", "like"), "like", "left")
-    return with_runs.filter(F.col("whole") | F.col("runs").isNotNull()).groupBy("rid").agg(
-        F.any_value("whole").alias("whole"), F.any_value("runs").alias("runs")
-    )
-
-
-def _kept(text: bytes, whole: bool, runs) -> tuple[int, list[bytes]]:
+    light = stored(_sequences(keyed), "sequences")
+    first = light.groupBy("sequence").agg(F.min("id").alias("first"))
+    copied = lookup_join(light, first, ["sequence"]).filter((F.col("first") < F.col("id")) & (F.col("n_words") >= length))
+    copied = stored(copied.select("id", "rid", "n_words").distinct(), "copies")
+
+    seeds = _seed_rows(keyed, length, seed)
+    counts = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    shared = seeds.join(counts.filter(F.col("n") > 1).select("seed", "least"), "seed")
+    item = F.struct("place", (F.col("id") == F.col("least")).alias("mine"))
+    wanted = shared.groupBy("id").agg(F.collect_set(item).alias("wanted"))
+    # An id that two texts share stays, even if one of them is a copy.
+    single = light.groupBy("id").agg((F.min("sequence") == F.max("sequence")).alias("one")).filter("one")
+    wanted = wanted.join(copied.join(single, "id", "left_semi").select("id"), "id", "left_anti")
+    windows = _anchor_windows(keyed.join(wanted, "id").select("id", "rid", "text", "wanted"), length, seed)
+    whole = copied.select("id", "rid", F.lit(0).alias("low"), F.col("n_words").cast("int").alias("high"))
+    return _later(windows, length).unionByName(whole).groupBy("id").agg(F.collect_list(F.struct("rid", "low", "high")).alias("found"))
+
+
+def _kept(text: bytes, rid: int, found) -> tuple[int, list[bytes]]:
     """(number of words, the words that stay)."""
     words = text.split()
-    if whole:
-        return len(words), []
+    runs = [run for run in found or () if run["rid"] == rid]
     if not runs:
         return len(words), words
     covered = np.zeros(len(words) + 1, np.int32)
@@ -217,16 +243,18 @@ def removal_report(docs: DataFrame, runs: DataFrame, id_col: str = "doc_id", tex
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text, whole, found in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            n, kept = _kept(text.encode(), whole, found)
+        for rid, text, found in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            n, kept = _kept(text.encode(), rid, found)
             rows.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         n, removed, digest = zip(*rows)
         arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest)]
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
-    keyed = texts_of(docs, id_col, text_col).withColumn("rid", row_key("doc_id", "text"))
-    return map_batches(keyed.join(runs, "rid", "left").select("doc_id", "text", "whole", "runs"), step, schema)
+    # The same columns by the same key as in repeat_runs: the texts are shuffled once for both.
+    joined = _keyed(docs, id_col, text_col).join(runs, "id", "left").select("id", "rid", "text", "found")
+    report = map_batches(joined, step, schema)
+    return report.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
 
 
 def without_repeats(docs: DataFrame, runs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,14 +267,18 @@ def without_repeats(docs: DataFrame, runs: DataFrame, id_col: str = "doc_id", te
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = [batch.column(i) for i in range(len(names))]
         texts, stays = columns[at].to_pylist(), []
-        for i, (whole, found) in enumerate(zip(*(batch.column(len(names) + j).to_pylist() for j in (0, 1)))):
-            if whole or found:
-                texts[i] = b" ".join(_kept((texts[i] or "").encode(), whole, found)[1]).decode()
-            stays.append(bool(texts[i]) or not (whole or found))
+        for i, (rid, found) in enumerate(zip(*(batch.column(len(names) + j).to_pylist() for j in (0, 1)))):
+            n, kept = _kept((texts[i] or "").encode(), rid, found) if found else (0, [])
+            if len(kept) < n:
+                texts[i] = b" ".join(kept).decode()
+            stays.append(bool(kept) or not n)
         columns[at] = pa.array(texts, columns[at].type)
         return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stays))
 
     # The columns of the runs get names of their own, whatever the documents' are called.
     mine = [f"_run_{i}_{len(names)}" for i in range(3)]
-    joined = docs.withColumn(mine[0], row_key(id_col, text_col)).join(runs.toDF(*mine), mine[0], "left")
+    keyed = docs.withColumns(
+        {mine[0]: F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))), mine[1]: row_key(id_col, text_col)}
+    )
+    joined = keyed.join(runs.toDF(mine[0], mine[2]), mine[0], "left")
     return map_batches(joined.select(*names, *mine[1:]), step, docs.schema)
