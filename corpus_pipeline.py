@@ -29,12 +29,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest id stays, and of rows with one id one row."""
+    """Of every group of linked rows the one with the smallest id stays, one without an id before all others.
+
+    Rows are told apart by id and text: texts that share an id, or have none, are linked by their words alone. Of rows
+    with the same id and text one stays.
+    """
     ship_package(tuned(spark))
-    found = ngram_join.similar_documents(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_first"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    row = f"_row_{len(docs.columns)}"
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("bigint"), text))
+    groups = ngram_join.similar_documents(keyed.select(row, "text"), id_col=row)
+    ids = keyed.select(F.col("doc_id").cast("bigint").alias("id"), F.col(row).alias("rid")).distinct()
+    found = groups.select(F.col("doc_id").alias("rid"), "component_id").distinct().join(ids, "rid")
+    first = found.groupBy("component_id").agg(F.min(F.struct("id", "rid")).alias("first")).select("first.rid")
+    return keyed.join(first, keyed[row] == first["rid"], "left_semi").dropDuplicates([row]).drop(row)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,16 @@ def test_run_equals_plain_stages(spark):
         ids = np.concatenate([np.frombuffer(row.ids, "<u2") for row in sorted(rows, key=lambda row: row.start)]).tolist()
         assert ids == [*whole.encode(texts[i], add_special_tokens=False).ids, 1], texts[i][:200]
     assert pii.KINDS == ("email", "ip", "card", "phone")
+
+
+def test_near_copies_are_told_by_text_not_by_id(spark):
+    a, b, c, d, e = (plain.sentence(seed, 80) for seed in range(21, 26))
+    rows = [
+        (None, a), (None, b), (None, None),  # without an id, unlike
+        (3, plain.edited(b, 1, 1)),  # linked to a text without an id
+        (5, c), (5, d), (5, d),  # one id, two unlike texts, one of them twice
+        (7, plain.edited(c, 1, 1)), (8, plain.edited(d, 1, 1)), (8, e),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [tuple(r) for r in corpus_pipeline.near_copies(spark, docs, SMALL).collect()]
+    assert sorted(kept, key=repr) == sorted([(None, a), (None, b), (None, None), (5, c), (5, d), (8, e)], key=repr)
