@@ -219,9 +219,9 @@ def train_on_labels(
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), values], ["doc_id", "quality", "x"])
 
     found = map_batches(rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")), step, "doc_id bigint, quality int, x array<double>")
-    kept = sorted((r.doc_id, r.quality, tuple(r.x)) for r in found.collect())
-    # A repeated document counts once, so the sample keeps its bound.
-    kept = list({row[0]: row for row in kept}.values())
+    # A repeated document counts once, so the sample keeps its bound: of its rows the one with the greatest statistics.
+    single = found.groupBy("doc_id").agg(F.max(F.struct("quality", "x")).alias("row")).select("doc_id", "row.*")
+    kept = sorted((r.doc_id, r.quality, tuple(r.x)) for r in single.collect())
     y = np.array([quality for _, quality, _ in kept], float)
     if len(kept) < 20 or y.min() == y.max():
         return None

@@ -98,3 +98,21 @@ def test_training_sample_is_bounded_and_repeatable(spark, labelled):
     first = quality.train_on_labels(docs, labels, sample=300)
     second = quality.train_on_labels(docs.repartition(5), labels.repartition(3), sample=300)
     assert np.array_equal(first.leaf, second.leaf) and np.array_equal(first.threshold, second.threshold)
+
+
+def test_the_driver_gets_one_row_for_each_labelled_id(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    got, collect = [], DataFrame.collect
+
+    def counted(self):
+        rows = collect(self)
+        got.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    texts = [(i, f"text {i} " * (10 + i)) for i in range(40)] + [(3, f"another text {i}") for i in range(500)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    assert quality.train_on_labels(docs, labels) is not None
+    assert max(got) == 40
