@@ -33,6 +33,14 @@ def discard(*frames: DataFrame) -> None:
         remove_folder(frame.sparkSession, frame._scratch_path)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of the frame has."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 # --- Arrow batches ----------------------------------------------------------------------------------------------
 
 

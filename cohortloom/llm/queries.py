@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_folder
-from . import fingerprints, maxent, ngram_join, packing, pii, prefix_bpe, quality, substring, token_counts, token_files
+from . import fingerprints, maxent, ngram_join, packing, pii, prefix_bpe, quality, secrets, substring, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -69,6 +69,13 @@ def op10_maxent(spark: SparkSession, sf: str) -> DataFrame:
     return maxent.score_documents(_documents(spark, sf))
 
 
+def op11_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf).select("doc_id", "text")
+    ledger = secrets.BlobLedger(spark, scratch_folder(spark, "blob-ledger"))
+    ledger.scan(docs)
+    return secrets.secret_report(ledger.findings(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_fingerprints": op2_fingerprints,
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_prefix_bpe": op8_prefix_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_maxent": op10_maxent,
+    "op11_secrets": op11_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_secrets": secrets.sql()}
