@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_folder
-from . import fingerprints, maxent, ngram_join, packing, pii, prefix_bpe, quality, secrets, substring, token_counts, token_files
+from . import fingerprints, maxent, ngram_join, packing, pii, prefix_bpe, prefix_trie, quality, secrets, substring, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op11_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secret_report(ledger.findings(docs))
 
 
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_fingerprints": op2_fingerprints,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_maxent": op10_maxent,
     "op11_secrets": op11_secrets,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op11_secrets": secrets.sql()}
+ORACLES: dict[str, str] = {"op11_secrets": secrets.sql(), "op12_prefix_trie": prefix_trie.SQL}
