@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_folder
-from . import fingerprints, maxent, ngram_join, packing, pii, prefix_bpe, prefix_trie, quality, secrets, substring, token_counts, token_files
+from . import (
+    fingerprints,
+    maxent,
+    ngram_join,
+    packing,
+    pii,
+    prefix_bpe,
+    prefix_trie,
+    quality,
+    secrets,
+    substring,
+    token_counts,
+    token_files,
+    whitening,
+)
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -80,6 +94,10 @@ def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_trie.prefix_trie(_table(spark, sf, "conversations"))
 
 
+def op13_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_fingerprints": op2_fingerprints,
@@ -93,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_maxent": op10_maxent,
     "op11_secrets": op11_secrets,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {"op11_secrets": secrets.sql(), "op12_prefix_trie": prefix_trie.SQL}
