@@ -91,6 +91,32 @@ class Memo(dict):
         return value
 
 
+class ByteMemo:
+    """Values of texts, held in two generations of together at most ``room`` bytes; long texts are not kept."""
+
+    def __init__(self, room: int = 64 << 20, longest: int = 64):
+        self.room, self.longest = room // 2, longest
+        self.new, self.old, self.used = {}, {}, 0
+
+    def values(self, names: Sequence[str], compute: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The value of every name; ``compute`` gives those of the distinct names that are not held."""
+        out = list(map(self.new.get, names))
+        if None not in out:
+            return out
+        lacking = {name for name, value in zip(names, out) if value is None}
+        found = {name: self.old[name] for name in lacking if name in self.old}
+        rest = list(lacking.difference(found)) if found else list(lacking)
+        found.update(zip(rest, compute(rest)))
+        out = [found[name] if value is None else value for name, value in zip(names, out)]
+        kept = {name: value for name, value in found.items() if len(name) <= self.longest}
+        # 150 for the two objects' heads and the entry of the dictionary, and as much for a text that is not ASCII.
+        self.used += sum(map(len, kept)) + sum(map(len, kept.values())) + 200 * len(kept)
+        self.new.update(kept)
+        if self.used >= self.room:
+            self.new, self.old, self.used = {}, self.new, 0
+        return out
+
+
 # --- words and their hashes -------------------------------------------------------------------------------------
 
 _U = np.uint64
@@ -142,16 +168,16 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 CHUNK = 1 << 20
 
 
-def text_chunks(texts: Sequence[bytes], largest: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``largest`` bytes together; a longer text stands alone."""
+def text_chunks(sizes: Sequence[int], largest: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``largest`` bytes together, from their sizes; a longer text stands alone."""
     at, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > largest:
+    for i, more in enumerate(sizes):
+        if size and size + more > largest:
             yield at, i
             at, size = i, 0
-        size += len(text) + 1
-    if at < len(texts):
-        yield at, len(texts)
+        size += more + 1
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
 def chunk_words(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +194,7 @@ def hashed_words(texts: Sequence[bytes]) -> Iterator[tuple[int, np.ndarray]]:
 
     Texts are hashed many at a time, so short ones cost no numpy call of their own.
     """
-    for low, high in text_chunks(texts):
+    for low, high in text_chunks([len(text) for text in texts]):
         hashes, _, _, _, cuts = chunk_words(texts[low:high])
         for i in range(high - low):
             yield low + i, hashes[cuts[i] : cuts[i + 1]]
@@ -217,6 +243,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranges_for(df: DataFrame, each: int = 64 << 20) -> int:
+    """As many ranges as the session shuffles into, and more where one would get over ``each`` bytes of the files read.
+
+    The size is the planner's, from the files' lengths; where it knows none, the session's number holds.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df.sparkSession), -(-size // each) if size < 1 << 58 else 0)
+
+
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     """At most parts - 1 rising bounds that cut the integer key into parts of about equal size."""
     shares = [i / parts for i in range(1, parts)]

@@ -8,13 +8,14 @@ laid one behind the other; every ``size`` tokens a new sequence begins.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, partitions, stored, texts_of
+from .common import map_batches, ranges_for, stored, texts_of
 from .library_tokens import library_encoder
 from .token_files import with_starts
 
@@ -22,13 +23,15 @@ DIMENSIONS, BITS, WIDTH = 4, 10, 256
 _SIGNS = np.random.Generator(np.random.PCG64(7)).choice([-1.0, 1.0], (WIDTH, DIMENSIONS))
 
 
-def project(ids: np.ndarray) -> np.ndarray:
-    """The document's hashed, normalised token counts in few dimensions, as integers of ``BITS`` bits."""
+def project(ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A row per document: its hashed, normalised token counts in few dimensions, as integers of ``BITS`` bits."""
+    n = len(cuts) - 1
     hashed = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24)
-    counts = np.sqrt(np.bincount(hashed, minlength=WIDTH))
-    length = np.sqrt((counts**2).sum())
-    point = (counts / length) @ _SIGNS if length else np.zeros(DIMENSIONS)
-    return np.minimum((1 << BITS) - 1, (1 << BITS) / (1 + np.exp(-2 * point))).astype(np.int64)
+    cells = np.repeat(np.arange(n) * WIDTH, np.diff(cuts)) + hashed
+    counts = np.sqrt(np.bincount(cells, minlength=n * WIDTH).reshape(n, WIDTH))
+    lengths = np.sqrt((counts**2).sum(axis=1))
+    points = counts / np.maximum(lengths, 1e-300)[:, None] @ _SIGNS
+    return np.minimum((1 << BITS) - 1, (1 << BITS) / (1 + np.exp(-2 * points))).astype(np.int64)
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -63,22 +66,28 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 def _tokenised(docs: DataFrame, vocabulary: str, end_id: int, kind: str, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, key, n_tokens, ids): packed ids of every text with the end id, and its place on the curve."""
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = library_encoder(vocabulary, True).encode
-        ids = [np.append(np.frombuffer(encode(text), "<u4"), np.uint32(end_id)) for text in batch.column(1).to_pylist()]
-        keys = hilbert_keys(np.stack([project(part[:-1]) for part in ids]))
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array(keys),
-                pa.array([len(part) for part in ids], pa.int64()),
-                pa.array([part.astype(kind).tobytes() for part in ids], pa.binary()),
-            ],
-            ["doc_id", "key", "n_tokens", "ids"],
-        )
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = library_encoder(vocabulary, True)
+        for batch in batches:
+            for low, ids, cuts in encoder.encode_with_end(batch.column(1), end_id):
+                n = len(cuts) - 1
+                keys = np.concatenate([_keys(ids, cuts[i : i + 1001]) for i in range(0, n, 1000)])
+                packed = ids.astype(kind)
+                ends = pa.array(cuts * packed.itemsize, pa.int32())
+                binary = pa.Array.from_buffers(pa.binary(), n, [None, ends.buffers()[1], pa.py_buffer(packed)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(low, n), pa.array(keys), pa.array(np.diff(cuts)), binary], names
+                )
+
+    names = ["doc_id", "key", "n_tokens", "ids"]
     schema = "doc_id bigint, key bigint, n_tokens bigint, ids binary"
-    return map_batches(texts_of(docs, id_col, text_col), step, schema, 500)
+    return texts_of(docs, id_col, text_col).mapInArrow(run, schema)
+
+
+def _keys(ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Places on the curve of documents with the end id behind each, which does not count."""
+    part, edges = ids[cuts[0] : cuts[-1]], cuts - cuts[0]
+    return hilbert_keys(project(np.delete(part, edges[1:] - 1), edges - np.arange(len(edges))))
 
 
 def packed_pieces(
@@ -91,13 +100,13 @@ def packed_pieces(
     numbers of 2 bytes (4 if the vocabulary is larger). A null or empty text is the end id alone; repeated rows are
     packed each; an empty table gives no piece. The vocabulary must be in lower case and drop white space.
     """
-    kind = "<u2" if library_encoder(vocabulary, True).whole.get_vocab_size() <= 1 << 16 else "<u4"
+    kind = library_encoder(vocabulary, True).kind.str
     tokens = _tokenised(docs, vocabulary, end_id, kind, id_col, text_col)
     rows = stored(tokens.withColumn("row", F.monotonically_increasing_id()), "packing-tokens")
     order = ["key", "doc_id", "row"]
     sorted_rows = (
         rows.select("row", "key", "doc_id", "n_tokens")
-        .repartitionByRange(partitions(docs.sparkSession), *order)
+        .repartitionByRange(ranges_for(docs), *order)
         .sortWithinPartitions(*order)
         .select(
             "row",
@@ -106,7 +115,8 @@ def packed_pieces(
             F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"),
         )
     )
-    starts = with_starts(stored(sorted_rows, "packing-order")).select("row", F.col("start").alias("at"))
+    placed = stored(sorted_rows, "packing-order")
+    starts = with_starts(placed, placed.select("part", "n_tokens")).select("row", F.col("start").alias("at"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []

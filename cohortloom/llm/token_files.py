@@ -8,7 +8,7 @@ separate tasks.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import list_array, map_batches, partitions, texts_of
+from .common import map_batches, ranges_for, texts_of
 from .library_tokens import library_encoder
 
 SCHEMA = "doc_id bigint, part int, place bigint, n_tokens bigint, ids array<int>"
@@ -27,13 +27,14 @@ def encode_documents(
 ) -> DataFrame:
     """(doc_id, ids): the ids of every whole text with ``end_id`` behind them. A null text gives the end id alone."""
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encode = library_encoder(path, words).encode
-        end = np.array([end_id], "<u4").tobytes()
-        ids = [np.frombuffer(encode(text) + end, "<i4") for text in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), list_array(ids, pa.int32())], ["doc_id", "ids"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = library_encoder(path, words)
+        for batch in batches:
+            for low, ids, cuts in encoder.encode_with_end(batch.column(1), end_id):
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(lists)), lists], ["doc_id", "ids"])
 
-    return map_batches(texts_of(docs, id_col, text_col), step, "doc_id bigint, ids array<int>", 500)
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def write_token_files(
@@ -51,14 +52,15 @@ def write_token_files(
     """Write the ids of every document as ORC files below ``path``, in ascending order of ids.
 
     Columns: doc_id, part (number of the file), place (row of the document in it, from 0), n_tokens, ids. Texts are
-    shuffled once, into successive ranges of ids; encoding and writing happen in that order. Null ids come first;
-    repeated ids stand together, in the order of their texts. An empty table gives files without rows.
+    shuffled once, into successive ranges of ids, as many as the bytes ask for; encoding and writing happen in that
+    order. Null ids come first; rows of one id stand together, in the order of a hash of their texts, by which an id
+    with many rows is parted too. An empty table gives files without rows.
     """
-    spark = docs.sparkSession
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ordered = (
         texts_of(docs, id_col, text_col)
-        .repartitionByRange(files or partitions(spark), F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        .repartitionByRange(files or ranges_for(docs), *order, F.monotonically_increasing_id())
+        .sortWithinPartitions(*order, "text")
     )
     encoded = encode_documents(ordered, vocabulary, end_id)
     rows = encoded.select(
@@ -92,15 +94,17 @@ def read_documents(spark: SparkSession, path: str, ids: Sequence[int]) -> DataFr
     return read_token_files(spark, path, F.col("doc_id").isin([int(i) for i in ids]))
 
 
-def with_starts(rows: DataFrame, part: str = "part", place: str = "place", n: str = "n_tokens") -> DataFrame:
+def with_starts(
+    rows: DataFrame, sizes: DataFrame, part: str = "part", place: str = "place", n: str = "n_tokens"
+) -> DataFrame:
     """Add ``start``: the sum of ``n`` over all rows before, by part and place.
 
     Two levels: running sums inside each part, which are bounded by the size of a file, and the totals of earlier
-    parts, one small row per part.
+    parts, one small row per part, taken from ``sizes``: the same rows, from which no more than these columns are read.
     """
     inside = W.partitionBy(part).orderBy(place).rowsBetween(W.unboundedPreceding, -1)
     earlier = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
-    totals = rows.groupBy(part).agg(F.sum(n).alias("_total"))
+    totals = sizes.groupBy(part).agg(F.sum(n).alias("_total"))
     offsets = totals.select(F.col(part), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
     local = rows.withColumn("_inside", F.coalesce(F.sum(n).over(inside), F.lit(0)))
     joined = local.join(offsets, part)
@@ -132,5 +136,6 @@ def token_digests(rows: DataFrame) -> DataFrame:
 
 def token_file_report(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of all documents, from the files alone."""
-    found = with_starts(token_digests(read_token_files(spark, path)))
+    rows = read_token_files(spark, path)
+    found = with_starts(token_digests(rows), rows.select("part", "n_tokens"))
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")

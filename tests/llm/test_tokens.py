@@ -153,3 +153,33 @@ def test_hilbert_curve_visits_every_point_by_steps_of_one():
     assert sorted(keys.tolist()) == list(range(len(points)))
     along = points[np.argsort(keys)]
     assert (np.abs(np.diff(along, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_one_id_on_a_third_of_the_rows_is_parted(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    rows = [(None if i % 3 == 0 else i, f"text {i % 700} of some words") for i in range(6000)]
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8), path, BYTES, 0, files=12)
+    sizes = sorted(r["count"] for r in token_files.read_token_files(spark, path).groupBy("part").count().collect())
+    assert sum(sizes) == 6000 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    report = token_files.token_file_report(spark, path).orderBy("start").collect()
+    assert [r.start for r in report] == np.cumsum([0, *[r.n_tokens for r in report]])[:-1].tolist()
+    ids = [r.doc_id for r in report]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
+def test_memo_is_bounded_by_bytes(spark):
+    from cohortloom.llm.common import ByteMemo
+
+    memo, asked = ByteMemo(room=100_000), []
+
+    def compute(names):
+        asked.extend(names)
+        return [name.encode() for name in names]
+
+    draw = random.Random(3)
+    for _ in range(300):
+        names = [f"word {draw.randrange(3000)}" for _ in range(50)] + ["x" * 1000]
+        assert memo.values(names, compute) == [name.encode() for name in names]
+        held = [*memo.new.items(), *memo.old.items()]
+        assert sum(200 + len(k) + len(v) for k, v in held) <= 150_000 and all(len(k) <= 64 for k, _ in held)
+    assert len(asked) < 300 * 50
