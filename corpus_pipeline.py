@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm import ngram_join, packing, pii, quality, substring
-from cohortloom.llm.common import stored
+from cohortloom.llm.common import fresh_name, stored
 from cohortloom.session import ship_package, tuned
 
 
@@ -31,18 +31,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked rows the one with the smallest id stays, one without an id before all others.
 
-    Rows are told apart by id and text: texts that share an id, or have none, are linked by their words alone. Of rows
-    with the same id and text one stays.
+    Rows are told apart by numbers that are written down before anything depends on them: texts that share an id, or
+    have none, are linked by their words alone. Rows without words are linked with nothing.
     """
     ship_package(tuned(spark))
-    row = f"_row_{len(docs.columns)}"
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("bigint"), text))
-    groups = ngram_join.similar_documents(keyed.select(row, "text"), id_col=row)
-    ids = keyed.select(F.col("doc_id").cast("bigint").alias("id"), F.col(row).alias("rid")).distinct()
-    found = groups.select(F.col("doc_id").alias("rid"), "component_id").distinct().join(ids, "rid")
+    row = fresh_name(docs, "row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    groups = ngram_join.similar_documents(numbered.select(row, "text"), id_col=row)
+    ids = numbered.select(F.col("doc_id").cast("bigint").alias("id"), F.col(row).alias("rid"))
+    found = groups.select(F.col("doc_id").alias("rid"), "component_id").join(ids, "rid")
     first = found.groupBy("component_id").agg(F.min(F.struct("id", "rid")).alias("first")).select("first.rid")
-    return keyed.join(first, keyed[row] == first["rid"], "left_semi").dropDuplicates([row]).drop(row)
+    return numbered.join(first, numbered[row] == first["rid"], "left_semi").drop(row)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +53,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind."""
     ship_package(tuned(spark))
-    found = pii.with_spans(docs, pii.train_on_corpus(docs))
-    masked = [pii.masked_text(found).alias("text") if name == "text" else F.col(name) for name in docs.columns]
-    return _counted(found.select(*masked))
+    return _counted(pii.without_personal_data(docs, pii.train_on_corpus(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
