@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,7 @@ _START, _LINE = "\x1d", "\x1e"
 # normaliser would change but for its case.
 _PLAIN = f"^(?P<lead>[{_START}{_LINE}]?)(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,]?)$"
 _CUT = re.compile(r" (?=\S)")
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 16 << 20
 
 
 def _laid(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,7 +32,10 @@ def _laid(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.
     each = sizes[which]
     edges = np.concatenate([[0], np.cumsum(each)])
     starts = np.cumsum(sizes) - sizes
-    return values[np.repeat(starts[which] - edges[:-1], each) + np.arange(edges[-1])], edges
+    kind = np.int32 if max(edges[-1], len(values)) < 1 << 31 else np.int64
+    places = np.repeat((starts[which] - edges[:-1]).astype(kind), each)
+    places += np.arange(edges[-1], dtype=kind)
+    return values[places], edges
 
 
 class LibraryEncoder:
@@ -166,7 +170,13 @@ class LibraryEncoder:
         """(number of the first text, ids, cuts) of some megabytes of texts at a time, ``end_id`` behind every text."""
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
         for low, high in text_chunks(sizes, BATCH_BYTES):
-            ids, cuts = self.encode_batch(texts.slice(low, high - low))
+            collecting = gc.isenabled()
+            gc.disable()  # a batch makes millions of small lists and no cycles
+            try:
+                ids, cuts = self.encode_batch(texts.slice(low, high - low))
+            finally:
+                if collecting:
+                    gc.enable()
             yield low, np.insert(ids, cuts[1:], np.uint32(end_id)), cuts + np.arange(len(cuts))
 
 

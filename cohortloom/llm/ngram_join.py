@@ -18,7 +18,7 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -198,7 +198,7 @@ def frequency_levels(texts: DataFrame, n: int) -> np.ndarray:
         for batch in batches:
             encoded = [text.encode().lower() for text in batch.column(0).to_pylist()]
             found = [shingle_set(words, n) for _, words in hashed_words(encoded)]
-            counts += np.bincount(_cells_of(np.concatenate(found)), minlength=len(counts)).astype(np.int32)
+            np.add.at(counts, _cells_of(np.concatenate(found)), 1)
         cells = np.flatnonzero(counts >= 4 + 4 * counts.mean())
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(counts[cells])], ["cell", "n"])
 
@@ -215,6 +215,14 @@ def frequency_levels(texts: DataFrame, n: int) -> np.ndarray:
     return levels
 
 
+ROW_KEY = "struct<x:bigint,y:bigint>"
+
+
+def _row_key() -> Column:
+    """128 bits that tell rows of (doc_id, text) apart: the text is hashed from two starting values."""
+    return F.struct(F.xxhash64("doc_id", "text").alias("x"), F.xxhash64("text", "doc_id").alias("y"))
+
+
 def _sets(rows: DataFrame, n: int) -> DataFrame:
     """(id, rid, n_shingles, content, mark, sketch): size and digest of each set; ``mark`` is half of the digest."""
 
@@ -233,7 +241,7 @@ def _sets(rows: DataFrame, n: int) -> DataFrame:
             ["id", "rid", "n_shingles", "content", "mark", "sketch"],
         )
 
-    schema = "id bigint, rid bigint, n_shingles bigint, content binary, mark bigint, sketch binary"
+    schema = f"id bigint, rid {ROW_KEY}, n_shingles bigint, content binary, mark bigint, sketch binary"
     return map_batches(rows, step, schema)
 
 
@@ -262,10 +270,12 @@ def _shared(rows: DataFrame, levels, n: int, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["key", "mark", "size"])
 
     found = map_batches(rows.select("text"), step, "key bigint, mark bigint, size int")
-    # A shingle's rows come from texts that have nothing rarer to offer: a small share of all rows.
+    # Copies become one row in every task before they are shuffled, and one for all before a window holds them. A
+    # shingle's rows come from texts that have nothing rarer to offer: a small share of all rows.
+    sets = found.groupBy("key", "mark").agg(F.max("size").alias("size"))
     same = W.partitionBy("key")
-    known = found.withColumn("_low", F.min("mark").over(same)).withColumn("_high", F.max("mark").over(same))
-    return known.filter(F.col("_low") != F.col("_high")).select("key", "mark", "size").distinct()
+    known = sets.withColumn("_low", F.min("mark").over(same)).withColumn("_high", F.max("mark").over(same))
+    return known.filter(F.col("_low") != F.col("_high")).select("key", "mark", "size")
 
 
 def _cells(shared: DataFrame) -> DataFrame:
@@ -353,7 +363,8 @@ def _links(work: DataFrame, known: DataFrame, rows: DataFrame, n: int, percent:
             yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
     named = work.join(known.select("mark", "rid", "id"), "mark").select("work", "rid", "id")
-    texts = rows.select("rid", "text").join(named, "rid").select("work", "id", "text")
+    # However often a row is repeated, its text comes once, and once for a task before it is shuffled.
+    texts = rows.select("rid", "text").dropDuplicates(["rid"]).join(named, "rid").select("work", "id", "text")
     return _together(texts).mapInArrow(search, "a bigint, b bigint").distinct()
 
 
@@ -370,7 +381,7 @@ def similar_documents(
     spark: SparkSession = docs.sparkSession
     lowest = -(1 << 63)
     rows = texts_of(docs, id_col, text_col).select(
-        F.coalesce("doc_id", F.lit(lowest)).alias("id"), F.xxhash64("doc_id", "text").alias("rid"), "text"
+        F.coalesce("doc_id", F.lit(lowest)).alias("id"), _row_key().alias("rid"), "text"
     )
     levels = spark.sparkContext.broadcast(frequency_levels(rows, n))  # 16 MB
     sets = stored(_sets(rows, n), "shingle-sets")

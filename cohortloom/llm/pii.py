@@ -382,3 +382,17 @@ def masked_text(found: DataFrame) -> Column:
         return F.concat(F.concat_ws("", s.out), F.substring(text, s.at + 1, F.length(text)))
 
     return _let(F.array_sort(tagged), lambda t: F.when(F.size(t) == 0, text).otherwise(F.aggregate(t, start, replace, close)))
+
+
+def without_personal_data(docs: DataFrame, classifier: dict[str, Sequence[float]], text_col: str = "text") -> DataFrame:
+    """``docs`` with every span of the text replaced by its kind; all columns keep name, type and, but for the text, value.
+
+    The row goes along as one struct, so no column can meet a working column of ``with_spans``. A null text becomes
+    the empty one.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    found = with_spans(packed, classifier)
+    masked = masked_text(found)
+    return found.select(
+        *[masked.alias(name) if name == text_col else F.col("row").getField(name).alias(name) for name in docs.columns]
+    )

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortloom.llm import ngram_join
 from cohortloom.llm.components import components
@@ -113,3 +114,17 @@ def test_sketches_never_rule_out_a_link():
                     assert marked[i] and marked[j]
     strangers = [np.unique(draw.integers(0, 1 << 62, 500).astype(np.uint64)) for _ in range(40)]
     assert not ngram_join.possible_partners([500] * 40, [ngram_join.sketch(s) for s in strangers]).any()
+
+
+def test_repeated_rows_beside_a_near_copy(spark):
+    """A third of the rows is one repeated row; its text reaches the search once, its set the window once."""
+    base = plain.sentence(31, 120)
+    rows = [(7, base)] * 3000 + [(3, plain.edited(base, 2, 1))] + [(100 + i, plain.sentence(1000 + i, 60)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = ngram_join.similar_documents(docs).collect()
+    assert len(got) == len(rows)
+    assert {r.component_id for r in got if r.doc_id in (3, 7)} == {3}
+    keyed = ngram_join.texts_of(docs).select(F.col("doc_id").alias("id"), ngram_join._row_key().alias("rid"), "text")
+    levels = spark.sparkContext.broadcast(np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8))
+    shared = ngram_join._shared(keyed, levels, 5, 80)
+    assert shared.groupBy("key").count().agg(F.max("count")).first()[0] == 2

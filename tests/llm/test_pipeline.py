@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -72,3 +73,35 @@ def test_near_copies_are_told_by_text_not_by_id(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     kept = [tuple(r) for r in corpus_pipeline.near_copies(spark, docs, SMALL).collect()]
     assert sorted(kept, key=repr) == sorted([(None, a), (None, b), (None, None), (5, c), (5, d), (8, e)], key=repr)
+
+
+def test_extra_columns_keep_value_and_type(spark):
+    """Columns by every name that the operators give to columns of their own."""
+    import pathlib
+    import re
+
+    sources = "".join(path.read_text() for path in pathlib.Path(corpus_pipeline.ngram_join.__file__).parent.glob("*.py"))
+    used = set(re.findall(r"""["'`]([a-z_][a-z0-9_]{0,14})["'`]""", sources)) | {f"_c{i}" for i in range(7)}
+    used |= {f"_{part}_{kind}" for part in ("base", "extra", "added", "all") for kind in pii.KINDS} | {"_text", "_mail", "_joined", "_plus"}
+    names = sorted(used - {"doc_id", "text", "lang", "source", "n_chars"})
+    assert len(names) > 150
+    table = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    docs = table.select("*", *[(F.col("doc_id") * 1000 + i).cast("int").alias(name) for i, name in enumerate(names)])
+    plain_texts = {r.doc_id: r.text for r in table.collect()}
+    for stage, function in corpus_pipeline.STAGES[:-1]:
+        kept = function(spark, docs, SMALL)
+        assert kept.dtypes == docs.dtypes, stage
+        rows = kept.collect()
+        assert len(rows) > 5, stage
+        for row in rows:
+            assert all(row[name] == row.doc_id * 1000 + i for i, name in enumerate(names)), stage
+            if stage in ("quality rules", "n-gram Jaccard join"):
+                assert row.text == plain_texts[row.doc_id]
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = plain.empty_docs(spark)
+    for stage, function in corpus_pipeline.STAGES:
+        found = function(spark, docs, SMALL)
+        assert found.collect() == [], stage
+        assert stage == "packing" or found.columns == docs.columns
