@@ -114,7 +114,15 @@ def phrase_search(
             )
         ).alias("sought"),
     ).filter(F.col("sought").isNotNull())
+    return fitting_windows(candidates, slop)
 
+
+def fitting_windows(candidates: DataFrame, slop: int) -> DataFrame:
+    """The result of ``phrase_search`` from (doc_id, positions, sought) rows.
+
+    ``positions`` maps at least the tokens of the phrase to their places in the document, ``sought`` is the phrase as
+    ``_phrase_literals`` gives it, and the document holds all its tokens.
+    """
     entries = F.array_sort(
         F.flatten(
             F.transform(

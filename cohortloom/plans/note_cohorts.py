@@ -45,16 +45,19 @@ def sepsis_ids(external: DataFrame) -> DataFrame:
     return id_set(external.filter(F.col("angus") == 1), "hadm_id", "hadm_id")
 
 
+def agreement_sets(noteevents: DataFrame, admissions: DataFrame, external: DataFrame) -> dict[str, DataFrame]:
+    """The admissions found by notes, diagnosis and the external list."""
+    return {
+        "note_hf": heart_failure_notes(noteevents).select("hadm_id"),
+        "diagnosis_hf": heart_failure_admissions(admissions).select("hadm_id"),
+        "sepsis": external.filter(F.col("angus") == 1).select("hadm_id"),
+        "admission_note": admission_notes(noteevents).select("hadm_id"),
+    }
+
+
 def agreement(noteevents: DataFrame, admissions: DataFrame, external: DataFrame) -> DataFrame:
     """Sizes of the id sets found by notes, diagnosis and the external list, and of their pairs."""
-    return overlap(
-        {
-            "note_hf": heart_failure_notes(noteevents).select("hadm_id"),
-            "diagnosis_hf": heart_failure_admissions(admissions).select("hadm_id"),
-            "sepsis": external.filter(F.col("angus") == 1).select("hadm_id"),
-            "admission_note": admission_notes(noteevents).select("hadm_id"),
-        }
-    )
+    return overlap(agreement_sets(noteevents, admissions, external))
 
 
 def sepsis_admission_notes(noteevents: DataFrame, external: DataFrame) -> DataFrame:

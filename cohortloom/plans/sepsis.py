@@ -6,6 +6,8 @@ lazy frame; only ``sepsis_cohort`` is worth materialising, because the enrichmen
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from functools import reduce
 from operator import add
 
@@ -280,10 +282,10 @@ def with_exclusion_flags(cohort: DataFrame, status: DataFrame, diagnoses: DataFr
     return flag_exists(flagged, renal, ADMISSION, "flag_esrt")
 
 
-def adult_counts(cohort: DataFrame, people: DataFrame) -> DataFrame:
+def adult_counts(cohort: DataFrame, people: DataFrame, count: Callable[..., DataFrame] = attrition) -> DataFrame:
     """Attrition of the sepsis and heart-failure cohort: flags, then adult, then the longest stay allowed."""
     joined = cohort.join(people.select(*ADMISSION, "age_flag"), ADMISSION, "left")
-    return attrition(
+    return count(
         joined,
         "subject_id",
         [
