@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fixed
 from ..functions.text import contains_keyword
+from ..operators.automaton import automaton_cohort, clued_patterns
 from ..operators.bitmaps import (
     bitmap_attrition,
     cohort_bitmaps,
@@ -22,8 +24,11 @@ from ..operators.bitmaps import (
     store_cohorts,
     union_bits,
 )
-from ..operators.phrases import phrase_search
+from ..operators.phrases import phrase_search, ranked_hits
 from ..operators.positions import add_batch, stored_phrase_search
+from ..operators.ranking import value_bounds
+from ..operators.relevance import relevance
+from ..operators.sets import id_set, union_ids
 from ..session import scratch_folder
 from ..sources.inferred import read_inferred_csv
 from ..sources.layout import SearchPath, point_read, write_clustered
@@ -174,6 +179,26 @@ def searched_tables(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n_orders"))
 
 
+def automaton_rows(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents", ["doc_id", "lang", "source", "text"])
+    return clued_patterns(docs, "text", {"licen[cs]e": ["licen"], "copyright": ["copyright"]}).drop("text")
+
+
+def automaton_heart_failure(spark: SparkSession, sf: str) -> DataFrame:
+    notes, admissions = _tables(spark, sf, "noteevents", "admissions")
+    by_note = automaton_cohort(note_cohorts.admission_notes(notes), "text", fixed.HEART_FAILURE_KEYWORDS)
+    by_diagnosis = automaton_cohort(admissions, "diagnosis", fixed.HEART_FAILURE_DIAGNOSIS)
+    return union_ids(id_set(by_note, "hadm_id"), id_set(by_diagnosis, "hadm_id"))
+
+
+def relevant_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Every hit with its weight from the corpus and its place in the phrase's order."""
+    docs = load(spark, sf, "documents", ["doc_id", "text"])
+    hits = phrase_search(docs, "doc_id", "text", t.PHRASES, t.SLOP)
+    weighed = relevance(hits, docs, "doc_id", "text", t.PHRASES)
+    return ranked_hits(weighed, value_bounds(docs, "doc_id")).select("phrase", "doc_id", "score", "rank", "n_docs")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q57_stored_hits": stored_hits,
     "q58_bitmap_overlap": bitmap_overlap,
@@ -189,6 +214,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q61_inferred_csv": inferred_csv,
     "q62_searched_tables": searched_tables,
     "q63_point_lookup": point_lookup,
+    "q64_automaton_cohort": automaton_rows,
+    "q64_automaton_heart_failure": automaton_heart_failure,
+    "q65_relevant_hits": relevant_hits,
 }
 
 
@@ -219,4 +247,20 @@ def oracles() -> dict[str, str]:
             WHERE o_orderstatus = 'F' GROUP BY c_nationkey""",
         "q63_point_lookup": """
             SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey IN (1, 2, 3, 1000)""",
+        "q64_automaton_cohort": plain["q17_keyword_cohort"],
+        "q64_automaton_heart_failure": plain["q42_clinic_heart_failure_ids"],
+        "q65_relevant_hits": f"""
+            WITH {table_oracles.hits_ctes("SELECT doc_id, text FROM documents", t.PHRASES, t.SLOP)},
+            sizes AS (SELECT doc_id, coalesce(len(toks), 0) AS length FROM doc_toks),
+            corpus AS (SELECT count(*) AS n, avg(length) AS mean FROM sizes),
+            found AS (SELECT tok, count(DISTINCT doc_id) AS df FROM places GROUP BY tok),
+            rarity AS (
+                SELECT phrase, sum(ln(1 + (corpus.n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5))) AS weight
+                FROM needed CROSS JOIN corpus LEFT JOIN found USING (tok) GROUP BY phrase),
+            weighed AS (
+                SELECT phrase, doc_id,
+                  round(weight * score / (score + 1.2 * (0.25 + 0.75 * length / mean)), 9) AS score
+                FROM hits JOIN rarity USING (phrase) JOIN sizes USING (doc_id) CROSS JOIN corpus)
+            SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY score DESC, doc_id) AS rank,
+              count(*) OVER (PARTITION BY phrase) AS n_docs FROM weighed""",
     }

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import glob
+import math
 import os
 import random
 import re
 import subprocess
 import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cohortloom.operators import bitmaps
+from cohortloom.operators.automaton import KeywordAutomaton, automaton_cohort, clued_patterns
 from cohortloom.operators.phrases import phrase_search
 from cohortloom.operators.positions import add_batch, read_blocks, stored_phrase_search
+from cohortloom.operators.relevance import corpus_statistics, relevance
 from cohortloom.operators.sets import attrition, overlap
 from cohortloom.plans import stored_queries
 from cohortloom.plans import table_queries as t
@@ -37,7 +41,8 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", list(stored_queries.QUERIES))
 def test_matches_sql(spark, name):
     df = entry.queries()[name](spark, SMALL)
-    assert not re.search(r"CartesianProduct|Python|ArrowEval", df._jdf.queryExecution().executedPlan().toString())
+    allowed = r"CartesianProduct" if "automaton" in name else r"CartesianProduct|Python|ArrowEval"
+    assert not re.search(allowed, df._jdf.queryExecution().executedPlan().toString())
     assert compare(df, connect(SMALL), ORACLES[name]) is None
 
 
@@ -256,6 +261,64 @@ def test_search_path_both_ways(spark):
         path.table("nowhere")
 
 
+# --- keywords and relevance -------------------------------------------------------------------------------------
+
+
+def test_automaton_finds_what_a_plain_search_finds():
+    draw = random.Random(9)
+    keywords = ["he", "she", "his", "hers", "é", " Heart Failure ", "aaa", "aa", "日本", "x" * 40, "ab" * 30]
+    automaton = KeywordAutomaton(keywords)
+    alphabet = ["h", "e", "s", "H", "i", "r", "é", "É", "a", "A", "日本", " ", "heart failure", "x" * 13, "ab" * 9, "\x00", "😀"]
+    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 120))) for _ in range(300)]
+    texts += ["ab" * 4000, "q" * 2040 + "x" * 40 + "q" * 3000, "", "q" * 2047 + "hers", "A" * 5000]
+    want = []
+    for text in texts:
+        low = text.encode().lower()
+        want.append([i for i, word in enumerate(keywords) if word.strip().encode().lower() in low])
+    assert automaton.search([text.encode() for text in texts]) == want
+    assert automaton.search([]) == [] and automaton.search([b""]) == [[]]
+    with pytest.raises(ValueError):
+        KeywordAutomaton(["a", " "])
+
+
+def test_time_does_not_grow_with_the_keywords():
+    draw = random.Random(3)
+
+    def word():
+        return "".join(draw.choice("abcdefghijklmnop") for _ in range(10))
+
+    many = [word() for _ in range(5000)]
+    texts = [" ".join(word() for _ in range(400)).encode() for _ in range(600)]
+    seconds = []
+    for keywords in (many[:8], many):
+        automaton = KeywordAutomaton(keywords)
+        start = time.perf_counter()
+        for _ in range(3):
+            automaton.search(texts)
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 3 * seconds[0]
+
+
+def test_patterns_are_tried_where_their_clue_stands(spark):
+    rows = [(1, "A Licence."), (2, "license"), (3, "licentious"), (4, None), (5, "Copyright"), (6, "nothing"), (7, "")]
+    df = spark.createDataFrame(rows, "id int, text string").withColumn("_clues", F.lit(5))
+    found = clued_patterns(df, "text", {"licen[cs]e": ["licen"], "copyright": ["copyright"]})
+    assert found.columns == df.columns and sorted((r.id, r._clues) for r in found.collect()) == [(1, 5), (2, 5), (5, 5)]
+    assert sorted(r.id for r in automaton_cohort(df, "text", ["LICEN", "right"]).collect()) == [1, 2, 3, 5]
+
+
+def test_relevance_of_few_documents(spark):
+    docs = spark.createDataFrame([(1, "heart failure"), (2, "heart failure " + "word " * 50), (3, "heart and more"), (4, None), (5, "x")], "doc_id bigint, text string")
+    phrases = ["heart failure", "missing"]
+    n, mean, counts = corpus_statistics(docs, "text", phrases)
+    assert (n, counts) == (5, {"heart": 3, "failure": 2}) and mean == (2 + 52 + 3 + 0 + 1) / 5
+    hits = phrase_search(docs, "doc_id", "text", phrases)
+    got = {r.doc_id: r.score for r in relevance(hits, docs, "doc_id", "text", phrases).collect()}
+    idf = sum(math.log(1 + (5 - df + 0.5) / (df + 0.5)) for df in (3, 2))
+    assert got == {i: pytest.approx(idf / (1 + 1.2 * (0.25 + 0.75 * length / mean)), abs=1e-9) for i, length in ((1, 2), (2, 52))}
+    assert corpus_statistics(docs.limit(0), "text", phrases) == (0, 0.0, {})
+
+
 # --- the training-data part may be missing ----------------------------------------------------------------------
 
 
