@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -51,6 +52,31 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def _trimmer() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # a C library without it
+        return None
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task, and what it has freed given back to the system.
+
+    Python workers live on between tasks, beside a JVM and other workers that need the memory.
+    """
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = _trimmer()
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def map_batches(
     df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, largest: int = 2000
 ) -> DataFrame:
@@ -63,7 +89,7 @@ def map_batches(
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 # --- memo -------------------------------------------------------------------------------------------------------

@@ -23,12 +23,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.joins import lookup_join
-from .common import discard, gram_hashes, hashed_words, list_array, map_batches, mixed, partitions, signed, stored, texts_of
+from .common import (
+    discard,
+    gram_hashes,
+    hashed_words,
+    list_array,
+    map_batches,
+    mixed,
+    partitions,
+    signed,
+    stored,
+    texts_of,
+    tidied,
+)
 from .components import components
 
 N, PERCENT = 5, 80
 BLOCK = 512
 SKETCH_BITS = 24
+BROADCAST_ROWS = 1 << 20
 _U = np.uint64
 
 
@@ -196,9 +209,9 @@ def frequency_levels(texts: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
-            encoded = [text.encode().lower() for text in batch.column(0).to_pylist()]
-            found = [shingle_set(words, n) for _, words in hashed_words(encoded)]
-            np.add.at(counts, _cells_of(np.concatenate(found)), 1)
+            for at in range(0, batch.num_rows, 2000):
+                found = [shingle_set(words, n) for _, words in hashed_words(_lowered(batch.column(0).slice(at, 2000)))]
+                np.add.at(counts, _cells_of(np.concatenate(found)), 1)
         cells = np.flatnonzero(counts >= 4 + 4 * counts.mean())
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(counts[cells])], ["cell", "n"])
 
@@ -207,7 +220,7 @@ def frequency_levels(texts: DataFrame, n: int) -> np.ndarray:
         levels[table["cell"].to_numpy() & 0xFFF] = np.minimum(255, 4 * np.log2(1 + table["n"].to_numpy()))
         return pa.table({"part": table["part"][:1], "levels": [levels.tobytes()]})
 
-    sums = texts.select("text").mapInArrow(count, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = texts.select("text").mapInArrow(tidied(count), "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
     packed = sums.withColumn("part", F.shiftright("cell", 12)).groupBy("part").applyInArrow(pack, "part int, levels binary")
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     for row in packed.collect():  # at most 4096 rows of 4096 bytes
@@ -347,11 +360,11 @@ def _promising(work: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "mark", "size"])
 
     rows = known.join(work, "mark").select("work", "id", "mark", "size", "sketch")
-    return _together(rows).mapInArrow(sift, "key bigint, mark bigint, size bigint").distinct()
+    return _together(rows).mapInArrow(tidied(sift), "key bigint, mark bigint, size bigint").distinct()
 
 
-def _links(work: DataFrame, known: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): links found by searching every piece of work."""
+def _links(named: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): links found by searching every piece of work, given as stored (work, rid, id)."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches):
@@ -362,10 +375,13 @@ def _links(work: DataFrame, known: DataFrame, rows: DataFrame, n: int, percent:
             ends = [pa.array([piece[order[pair[side]]][1] for pair in found], pa.int64()) for side in (0, 1)]
             yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
-    named = work.join(known.select("mark", "rid", "id"), "mark").select("work", "rid", "id")
+    needed = named.select("rid").distinct()
+    if named.count() <= BROADCAST_ROWS:  # 16 bytes each; beyond that the texts are shuffled to them
+        needed = F.broadcast(needed)
     # However often a row is repeated, its text comes once, and once for a task before it is shuffled.
-    texts = rows.select("rid", "text").dropDuplicates(["rid"]).join(named, "rid").select("work", "id", "text")
-    return _together(texts).mapInArrow(search, "a bigint, b bigint").distinct()
+    texts = rows.select("rid", "text").join(needed, "rid", "left_semi").dropDuplicates(["rid"])
+    texts = texts.join(named, "rid").select("work", "id", "text")
+    return _together(texts).mapInArrow(tidied(search), "a bigint, b bigint").distinct()
 
 
 def similar_documents(
@@ -398,8 +414,10 @@ def similar_documents(
     )
     shared = stored(_shared(rows, levels, n, percent), "shared-shingles")
     groups = stored(_promising(_work(_cells(shared), percent, block), known, percent), "promising")
-    links = stored(_links(_work(groups, percent, block), known, rows, n, percent), "links")
-    discard(groups)
+    work = _work(groups, percent, block).join(known.select("mark", "rid", "id"), "mark")
+    named = stored(work.select("work", "rid", "id"), "work")
+    links = stored(_links(named, rows, n, percent), "links")
+    discard(groups, named)
     discard(shared)
     reached = components(links, "a", "b")
     discard(links)

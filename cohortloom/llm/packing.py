@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, ranges_for, stored, texts_of
+from .common import map_batches, ranges_for, stored, texts_of, tidied
 from .library_tokens import library_encoder
 from .token_files import with_starts
 
@@ -81,7 +81,7 @@ def _tokenised(docs: DataFrame, vocabulary: str, end_id: int, kind: str, id_col:
 
     names = ["doc_id", "key", "n_tokens", "ids"]
     schema = "doc_id bigint, key bigint, n_tokens bigint, ids binary"
-    return texts_of(docs, id_col, text_col).mapInArrow(run, schema)
+    return texts_of(docs, id_col, text_col).mapInArrow(tidied(run), schema)
 
 
 def _keys(ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:

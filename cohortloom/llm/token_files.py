@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_batches, ranges_for, texts_of
+from .common import map_batches, ranges_for, texts_of, tidied
 from .library_tokens import library_encoder
 
 SCHEMA = "doc_id bigint, part int, place bigint, n_tokens bigint, ids array<int>"
@@ -34,7 +34,7 @@ def encode_documents(
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(lists)), lists], ["doc_id", "ids"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return texts_of(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id bigint, ids array<int>")
 
 
 def write_token_files(
