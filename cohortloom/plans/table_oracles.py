@@ -201,7 +201,7 @@ def oracles() -> dict[str, str]:
         for test in sources
     ]
     rule_flags = f"({ORDER_FLAGS})"
-    return {
+    sql = {
         "q01_encounter_index": INDEX.format(where="o_orderstatus = 'F'"),
         "q01_point_lookup": """
             SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_custkey = 7
@@ -263,6 +263,26 @@ def oracles() -> dict[str, str]:
             FROM (SELECT user_id, end_ts - INTERVAL 12 HOUR AS start_ts, end_ts FROM ({WINDOWS})) w
             LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') e
                 ON e.user_id = w.user_id AND e.ts BETWEEN start_ts AND end_ts""",
+        "q66_sweep_sums": """
+            WITH days AS (
+                SELECT l_linestatus AS status, l_shipdate AS ts, count(*) AS n, sum(floor(l_quantity)) AS q
+                FROM lineitem GROUP BY ALL),
+            run AS (
+                SELECT status, ts, sum(n) OVER w AS n, sum(q) OVER w AS q
+                FROM days WINDOW w AS (PARTITION BY status ORDER BY ts)),
+            spans AS (
+                SELECT o_orderkey, years, o_orderstatus AS status, o_orderdate AS s, o_orderdate + to_years(years) AS e
+                FROM orders CROSS JOIN (VALUES (1), (100)) v (years)),
+            met AS (
+                SELECT o_orderkey, years, coalesce(hi.n, 0) - coalesce(lo.n, 0) AS n,
+                       coalesce(hi.q, 0) - coalesce(lo.q, 0) AS q, nxt.ts AS first_ts, hi.ts AS last_ts
+                FROM spans p
+                ASOF LEFT JOIN run hi ON p.status = hi.status AND p.e >= hi.ts
+                ASOF LEFT JOIN run lo ON p.status = lo.status AND p.s > lo.ts
+                ASOF LEFT JOIN run nxt ON p.status = nxt.status AND p.s <= nxt.ts)
+            SELECT o_orderkey, years, n::BIGINT AS n_lines, CASE WHEN n > 0 THEN q::BIGINT END AS quantity,
+                   CASE WHEN n > 0 THEN first_ts END AS first_ship, CASE WHEN n > 0 THEN last_ts END AS last_ship
+            FROM met""",
         "q12_text_evidence": """
             SELECT source, lang,
                    max(CASE WHEN regexp_matches(text, '[^E]rea') THEN 1 ELSE 0 END) AS has_rea,
@@ -384,3 +404,5 @@ def oracles() -> dict[str, str]:
                    sum(length(text))::BIGINT AS n_chars FROM benchmark""",
         "q29_path_ids": "SELECT doc_id, doc_id AS path_id FROM documents",
     }
+    # The sweep answers the questions of the interval joins.
+    return sql | {"q66_sweep_counts": sql["q11_interval_join"], "q66_sweep_rows": sql["q11_interval_rows"]}

@@ -43,6 +43,7 @@ from ..operators.phrases import (
 from ..operators.ranking import first_match, seeded_sample, seeded_samples, value_bounds, with_ordinal
 from ..operators.sets import attrition, id_set, intersect_ids, overlap, shape, union_ids
 from ..operators.status import first_last_status
+from ..operators.sweep import sweep_join, sweep_summary
 from ..session import remove_folder, scratch_folder
 from ..sources.files import export_documents, id_from_path, read_exported_texts, read_quoted_csv, write_csv
 from ..sources.tables import load, materialise
@@ -254,6 +255,35 @@ def interval_rows(spark: SparkSession, sf: str) -> DataFrame:
     return interval_join(windows, _of_type(spark, sf, "error"), ["user_id"], "ts", "start_ts", "end_ts")
 
 
+def swept_counts(spark: SparkSession, sf: str) -> DataFrame:
+    errors = _of_type(spark, sf, "error")
+    return sweep_summary(
+        _windows(spark, sf), errors, ["user_id"], "ts", "start_ts", "end_ts", "n_errors", "first_error"
+    )
+
+
+def swept_rows(spark: SparkSession, sf: str) -> DataFrame:
+    windows = _windows(spark, sf).withColumn("start_ts", F.col("end_ts") - F.expr("INTERVAL 12 HOURS"))
+    return sweep_join(windows, _of_type(spark, sf, "error"), ["user_id"], "ts", "start_ts", "end_ts")
+
+
+def swept_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """For every order the parts shipped in the year and the century after it, over all orders of its status."""
+    lines = load(spark, sf, "lineitem", ["l_linestatus", "l_shipdate", "l_quantity"])
+    lines = lines.select("l_linestatus", "l_shipdate", F.floor("l_quantity").alias("quantity"))
+    orders = load(spark, sf, "orders", ["o_orderkey", "o_orderstatus", "o_orderdate"])
+    orders = orders.select(
+        "o_orderkey",
+        F.col("o_orderstatus").alias("l_linestatus"),
+        F.col("o_orderdate").alias("start_ts"),
+        F.explode(F.array(F.lit(1), F.lit(100))).alias("years"),
+    )
+    windows = orders.withColumn("end_ts", F.expr("start_ts + make_ym_interval(years, 0)"))
+    times, found = ("l_shipdate", "start_ts", "end_ts"), ("n_lines", "first_ship", "last_ship")
+    swept = sweep_summary(windows, lines, ["l_linestatus"], *times, *found, {"quantity": F.col("quantity")})
+    return swept.select("o_orderkey", "years", "n_lines", "quantity", "first_ship", "last_ship")
+
+
 def combined_status(spark: SparkSession, sf: str) -> DataFrame:
     """First, last and ever status, the first purchase inside the window and a flag from the notes, per user."""
     status = _status(spark, sf).drop("first_purchase")
@@ -564,6 +594,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q10_first_last_status": first_last,
     "q11_interval_join": interval_counts,
     "q11_interval_rows": interval_rows,
+    "q66_sweep_counts": swept_counts,
+    "q66_sweep_rows": swept_rows,
+    "q66_sweep_sums": swept_sums,
     "q12_text_evidence": evidence,
     "q13_code_status": combined_status,
     "q14_dose_normalise": dose_rows,
