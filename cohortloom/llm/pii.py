@@ -1,9 +1,11 @@
 """Personal data by weak supervision, with DataFrame expressions only.
 
 Patterns propose spans, and five labelers vote on each: a strict format, a checksum or range, a gazetteer (top-level
-domains, issuer digits, country codes), a context word just before, and clean edges. Votes are counted over the whole
-corpus; expectation-maximisation on the counts estimates how reliable each labeler is, and a logistic span classifier
-is trained on the resulting probabilities. It decides which further spans are added to those of the base patterns.
+domains, issuer digits, country and area codes), a context word just before, and clean edges. Votes are counted over
+the whole corpus; expectation-maximisation on the counts estimates how reliable each labeler is, and a logistic span
+classifier is trained on the resulting probabilities. It decides which further spans are added to those of the base
+patterns: cards and phones that run into others, addresses with the signs spelt out, masked and version 6 addresses of
+hosts, cards with other separators or of 15 digits, and phone numbers without a country.
 
 Votes of a kind have at most 32 combinations, so the driver sees at most 128 counts. Everything per document happens
 inside its row: nothing is shuffled but the counts.
@@ -31,12 +33,23 @@ EMAIL = rf"(?:(?<![A-Za-z0-9._%+{_JOINT}-])|\G)[A-Za-z0-9._%+{_JOINT}-]++@[A-Za-
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 DIGITS = rf"[0-9{_JOINT}]{{2,}}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-MASKED_EMAIL = (
-    rf"(?<![A-Za-z0-9._%+{_JOINT}-])[A-Za-z0-9._%+{_JOINT}-]{{1,64}}+ ?(?:\(at\)|\[at\]) ?"
-    rf"[A-Za-z0-9-]{{1,63}}+{_JOINT}[A-Za-z0-9{_JOINT}-]{{1,250}}+"
+# What the further sources look for: one pattern a kind, since each source lengthens the plan.
+_HOST, _DOTTED = "[A-Za-z0-9-]++", rf"{_JOINT}[A-Za-z0-9{_JOINT}-]++"
+_SPELT = rf"(?:(?: ?\(dot\) ?| ?\[dot\] ?| dot ){_HOST}){{1,4}}"
+HIDDEN_EMAIL = (
+    rf"(?<![A-Za-z0-9._%+{_JOINT}-])[A-Za-z0-9._%+{_JOINT}-]++"
+    rf"(?: ?(?:\(at\)|\[at\]) ?{_HOST}(?:{_DOTTED}|{_SPELT})| at {_HOST}{_SPELT})"
+)
+HIDDEN_IP = (
+    r"(?<![0-9A-Za-z:])(?:[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?[0-9]{1,3}){3}(?![0-9])"
+    r"|(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:]))"
+)
+CARD_GROUPS = (
+    rf"(?<![0-9])(?:[0-9]{{4}}{_JOINT}?[0-9]{{4}}{_JOINT}?[0-9]{{4}}{_JOINT}?[0-9]{{4}}"
+    rf"|3[47][0-9]{{2}}{_JOINT}?[0-9]{{6}}{_JOINT}?[0-9]{{5}})(?![0-9])"
 )
-CARD_GROUPS = rf"(?<![0-9])[0-9]{{4}}{_JOINT}?[0-9]{{4}}{_JOINT}?[0-9]{{4}}{_JOINT}?[0-9]{{4}}(?![0-9])"
 PHONE_GROUPS = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
+PHONE_LOCAL = r"(?<![0-9+(./-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|[./-][0-9])"
 
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _DOMAINS = "com|org|net|edu|gov|info|io|eu|de|fr|es|uk|us|at|ch|it"
@@ -69,19 +82,27 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add) % 10 == 0
 
 
-def _is_card(text: Column) -> Column:
-    return _let(_digits(text), lambda d: F.length(d).between(16, 19) & F.when(F.length(d).between(16, 19), luhn(d)).otherwise(F.lit(False)))
+def _is_card(text: Column, least: int = 16, most: int = 19) -> Column:
+    def check(digits: Column) -> Column:
+        return F.when(F.length(digits).between(least, most), luhn(digits)).otherwise(F.lit(False))
+
+    return _let(_digits(text), check)
 
 
 @dataclass(frozen=True)
 class Source:
-    """A pattern that proposes spans of a kind; ``base`` spans that are valid stay whatever the classifier says."""
+    """A pattern that proposes spans of a kind; ``base`` spans that are valid stay whatever the classifier says.
+
+    ``strict`` and ``listed`` are what the format and the gazetteer labeler look for, where not those of the kind.
+    """
 
     kind: str
     pattern: str
     column: str
     base: bool
     valid: Callable[[Column], Column]
+    strict: str | None = None
+    listed: str | None = None
 
 
 def _in_range(m: Column) -> Column:
@@ -97,22 +118,38 @@ SOURCES = (
     Source("ip", IP, "_numbers", True, _in_range),
     Source("card", DIGITS, "_joined", True, _is_card),
     Source("phone", PHONE, "_plus", True, _long_enough),
-    Source("email", MASKED_EMAIL, "_masked", False, lambda m: F.lit(True)),
-    Source("card", CARD_GROUPS, "_joined", False, _is_card),
-    Source("phone", PHONE_GROUPS, "_plus", False, _long_enough),
-)
-
-
-def _votes(kind: str, m: Column, before: Column, after: Column, valid: Column) -> Column:
+    # "look at example dot com" is prose: with plain words for the signs, only a local part unlike a word is strict.
+    Source(
+        "email", HIDDEN_EMAIL, "_hidden", False, lambda m: m.rlike(rf"{_JOINT}[A-Za-z0-9-]+\z|dot[)\]]? ?(?:{_DOMAINS})\z"),
+        rf"[(\[]at[)\]]|\A[^ ]*[._%+0-9{_JOINT}-]", rf"(?:{_JOINT}|dot[)\]]? ?)(?:{_DOMAINS})\z",
+    ),
+    Source(
+        "ip", HIDDEN_IP, "_hosts", False, lambda m: m.contains(":") | _in_range(F.regexp_replace(m, "[^0-9]+", ".")),
+        r"\A[1-9][^:]*\z|[0-9A-Fa-f]{3}", r"(?i)\A(?!0|127[^0-9]|255[^0-9])[^:]*\z|\A(?:2[0-9a-f]{3}|fe[89ab].|f[cd]..):",
+    ),
+    Source(
+        "card", CARD_GROUPS, "_cards", False, lambda m: _is_card(m, 15, 16),
+        rf"\A(?:[0-9]{{4}}{_JOINT}?){{3}}[0-9]{{4}}\z|\A3[47]",
+    ),
+    Source(
+        "phone", rf"{PHONE_GROUPS}|{PHONE_LOCAL}", "_phones", False,
+        lambda m: _long_enough(m) & m.rlike(r"\A(?:\+|\(?[2-9][0-9]{2}[^0-9]+[2-9])"),
+        rf"\A(?:{PHONE_GROUPS}|\(|[0-9]{{3}}([.-])[0-9]{{3}}\1)", rf"\A(?:\+(?:{_COUNTRIES})|\(?[2-9](?!11))",
+    ),
+)
+
+
+def _votes(source: Source, m: Column, before: Column, after: Column, valid: Column) -> Column:
     """The five votes as bits: format, check, gazetteer, context, edges."""
     strict, listed = {
         "email": (rf"\A[A-Za-z0-9][A-Za-z0-9._%+{_JOINT}-]*@[A-Za-z0-9{_JOINT}-]+\z", rf"{_JOINT}(?:{_DOMAINS})\z"),
         "ip": (r"\A[1-9][0-9]{0,2}(?:\.[0-9]{1,3}){3}\z", r"\A(?!0|127\.|255\.)"),
         "card": (rf"\A(?:[0-9]{{4}}{_JOINT}?){{3}}[0-9]{{4}}\z", r"\A[2-6]"),
         "phone": (rf"\A{PHONE_GROUPS}\z", rf"\A\+(?:{_COUNTRIES})"),
-    }[kind]
+    }[source.kind]
+    strict, listed = source.strict or strict, source.listed or listed
     edges = ~before.rlike(r"[A-Za-z0-9]\z") & ~after.rlike(r"\A[A-Za-z0-9]")
-    votes = [m.rlike(strict), valid, m.rlike(listed), before.rlike(_CONTEXT[kind]), edges]
+    votes = [m.rlike(strict), valid, m.rlike(listed), before.rlike(_CONTEXT[source.kind]), edges]
     total = F.lit(0)
     for bit, vote in enumerate(votes):
         total = total + F.when(vote, 1 << bit).otherwise(0)
@@ -175,7 +212,7 @@ def _proposed(source: Source) -> Column:
 
             def span(x: Column) -> Column:
                 valid = source.valid(x.m)
-                votes = _votes(source.kind, x.m, F.right(x.g, F.lit(40)), F.left(x.a, F.lit(1)), valid)
+                votes = _votes(source, x.m, F.right(x.g, F.lit(40)), F.left(x.a, F.lit(1)), valid)
                 end = x.s + F.length(x.m)
                 return F.struct(x.s.alias("start"), end.alias("end"), votes.alias("votes"), valid.alias("valid"))
 
@@ -191,19 +228,23 @@ def _proposed(source: Source) -> Column:
 def with_candidates(docs: DataFrame, text: Column) -> DataFrame:
     """``docs`` with a text column ``_text`` (null as empty) and the spans of each source, ``_c0``, ``_c1``, ...
 
-    Texts without an at sign, a plus or a digit are not searched for what needs them.
+    Texts without a sign that a source needs are not searched for it.
     """
     plain = F.translate(F.col("_text"), _JOINT, "\x02")
     dotted = F.regexp_replace(plain, r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _JOINT)
     joined = F.regexp_replace(plain, r"(?<=[0-9])[ -](?=[0-9])", _JOINT)
+    grouped = F.regexp_replace(plain, r"(?<=[0-9])[ ./_-](?=[0-9])", _JOINT)
     base = docs.withColumn("_text", F.coalesce(text, F.lit("")))
     searched = base.withColumns(
         {
             "_mail": F.when(F.col("_text").contains("@"), dotted),
-            "_masked": F.when(F.col("_text").contains("(at)") | F.col("_text").contains("[at]"), dotted),
+            "_hidden": F.when(F.col("_text").rlike(r"[(\[]at[)\]]| at [A-Za-z0-9-]++ ?[(\[]?dot"), dotted),
             "_numbers": F.when(F.col("_text").rlike(r"[0-9]\.[0-9]"), F.col("_text")),
             "_joined": F.when(F.col("_text").rlike("[0-9][ -]?[0-9]"), joined),
             "_plus": F.when(F.col("_text").contains("+"), F.col("_text")),
+            "_hosts": F.when(F.col("_text").rlike(r"[0-9] ?[(\[](?:\.|dot)[)\]]|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]"), F.col("_text")),
+            "_cards": F.when(F.col("_text").rlike("[0-9]{4}[ ./_-]?[0-9]{4}"), grouped),
+            "_phones": F.when(F.col("_text").rlike(r"\+[0-9]|[0-9]{3}[ .-][0-9]{4}"), F.col("_text")),
         }
     )
     return searched.withColumns({f"_c{i}": _proposed(source) for i, source in enumerate(SOURCES)})
@@ -319,27 +360,18 @@ def with_spans(docs: DataFrame, classifier: dict[str, Sequence[float]], text_col
     valid = {i: F.filter(f"_c{i}", lambda x: x.valid) for i in range(len(SOURCES))}
     base = {source.kind: _edges(valid[i]) for i, source in enumerate(SOURCES) if source.base}
     found = found.withColumns({f"_base_{kind}": base[kind] for kind in KINDS})
-    extra = {
-        source.kind: F.array_except(
-            _edges(F.filter(valid[i], _accepted(classifier[source.kind], least))),
-            F.col(f"_base_{source.kind}"),
-        )
-        for i, source in enumerate(SOURCES)
-        if not source.base
-    }
-    found = found.withColumns({f"_extra_{kind}": column for kind, column in extra.items()})
-    for i, kind in enumerate(extra):
-        others = [f"_base_{k}" for k in KINDS] + [f"_added_{k}" for k in list(extra)[:i]]
-        added = F.when(F.size(f"_extra_{kind}") == 0, F.col(f"_extra_{kind}")).otherwise(
-            _let(F.concat(*others), _apart_from(F.col(f"_extra_{kind}")))
-        )
-        found = found.withColumn(f"_added_{kind}", added)
-    return found.withColumns(
-        {
-            f"_all_{kind}": F.array_sort(F.concat(f"_base_{kind}", f"_added_{kind}")) if kind in extra else F.col(f"_base_{kind}")
-            for kind in KINDS
-        }
-    )
+    added: dict[str, list[str]] = {kind: [] for kind in KINDS}
+    taken = [f"_base_{kind}" for kind in KINDS]
+    for i, source in enumerate(SOURCES):
+        if source.base:
+            continue
+        proposed, mine = f"_extra_{i}", f"_added_{i}"
+        found = found.withColumn(proposed, _edges(F.filter(valid[i], _accepted(classifier[source.kind], least))))
+        apart = _let(F.concat(*taken), _apart_from(F.col(proposed)))
+        found = found.withColumn(mine, F.when(F.size(proposed) == 0, F.col(proposed)).otherwise(apart))
+        added[source.kind].append(mine)
+        taken.append(mine)
+    return found.withColumns({f"_all_{kind}": F.array_sort(F.concat(f"_base_{kind}", *added[kind])) for kind in KINDS})
 
 
 def _written(prefix: str) -> Column:

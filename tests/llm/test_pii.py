@@ -101,3 +101,65 @@ def test_main_path_is_native(spark):
     docs = edge_docs(spark)
     plan = pii.span_report(pii.with_spans(docs, pii.train_on_corpus(docs)))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_planted_spans_are_added_and_clean_texts_left_alone(spark):
+    draw = random.Random(5)
+    words = "the garden at noon is quiet and a dot on page 12 shows that 300 of 4000 people look at maps".split()
+
+    def prose():
+        return " ".join(draw.choice(words) for _ in range(draw.randint(3, 9)))
+
+    def luhn_completed(digits):
+        total = sum(sum(divmod(int(d) * (2 - i % 2), 10)) for i, d in enumerate(reversed(digits)))
+        return digits + str(-total % 10)
+
+    def number(n, first="4"):
+        return luhn_completed(first + "".join(draw.choice("0123456789") for _ in range(n - 1 - len(first))))
+
+    def four(digits, sign):
+        return sign.join(digits[i : i + 4] for i in range(0, 16, 4))
+
+    def name():
+        return draw.choice(["ann.lee", "j_smith", "kim42", "r-ortiz"])
+
+    def octets():
+        return [str(draw.randint(1, 255)) for _ in range(4)]
+
+    makers = [
+        ("email", "write to", lambda: f"{name()} at example dot com"),
+        ("email", "mail:", lambda: f"{name()} [at] mail [dot] example [dot] org"),
+        ("email", "contact", lambda: f"{name()}(at)example.net"),
+        ("card", "card", lambda: four(number(16), draw.choice("._/"))),
+        ("card", "paid by card", lambda: (lambda d: f"{d[:4]} {d[4:10]} {d[10:]}")(number(15, "37"))),
+        ("ip", "from host", lambda: "[.]".join(octets())),
+        ("ip", "server", lambda: "2001:db8:0:1:" + ":".join(f"{draw.randint(1, 65535):x}" for _ in range(4))),
+        ("phone", "call", lambda: f"({draw.randint(201, 989)}) {draw.randint(212, 989)}-{draw.randint(1000, 9999)}"),
+        ("phone", "phone", lambda: f"{draw.randint(212, 989)}-{draw.randint(212, 989)}-{draw.randint(1000, 9999)}"),
+    ]
+    plain = [
+        ("email", lambda: f"{name()}@example.com"), ("ip", lambda: ".".join(octets())), ("card", lambda: number(16)),
+        ("phone", lambda: f"+1 ({draw.randint(201, 989)}) {draw.randint(212, 989)}-{draw.randint(1000, 9999)}"),
+    ]
+    rows, planted = [], {}
+    for i in range(1200):
+        parts, want = [prose()], []
+        if i % 3 == 0:
+            kind, lead, make = makers[i // 3 % len(makers)]
+            text = make()
+            at = len(f"{parts[0]} {lead} ")
+            want.append(f"{kind}:{at}:{at + len(text)}")
+            parts += [lead, text]
+        elif i % 3 == 1:
+            kind, make = plain[i // 3 % len(plain)]
+            parts += [f"{draw.choice(['our', 'new'])} {kind}", make()]
+        rows.append((1000 + i, " ".join([*parts, prose()])))
+        planted[1000 + i] = want
+    got = {r.doc_id: [s for s in r.spans.split(",") if s] for r in report(edge_docs(spark, rows))}
+    texts = dict(rows)
+    base = {i: {f"{k}:{a}:{b}" for k, a, b in base_spans(text)} for i, text in texts.items()}
+    wanted = {(i, s) for i, spans in planted.items() for s in spans}
+    extra = {(i, s) for i, spans in got.items() for s in spans if s not in base[i]}
+    assert len(wanted & extra) >= 0.9 * len(wanted), sorted(texts[i] for i, _ in wanted - extra)[:20]
+    assert len(wanted & extra) >= 0.9 * len(extra), [(texts[i], s) for i, s in extra - wanted][:20]
+    assert not [i for i in got if (i - 1000) % 3 == 2 and set(got[i]) - base[i]]
