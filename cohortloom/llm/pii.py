@@ -34,6 +34,7 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 DIGITS = rf"[0-9{_JOINT}]{{2,}}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 # What the further sources look for: one pattern a kind, since each source lengthens the plan.
+_HOST_SIGNS = r"[0-9] ?[(\[](?:\.|dot)[)\]]|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]"
 _HOST, _DOTTED = "[A-Za-z0-9-]++", rf"{_JOINT}[A-Za-z0-9{_JOINT}-]++"
 _SPELT = rf"(?:(?: ?\(dot\) ?| ?\[dot\] ?| dot ){_HOST}){{1,4}}"
 HIDDEN_EMAIL = (
@@ -118,10 +119,12 @@ SOURCES = (
     Source("ip", IP, "_numbers", True, _in_range),
     Source("card", DIGITS, "_joined", True, _is_card),
     Source("phone", PHONE, "_plus", True, _long_enough),
-    # "look at example dot com" is prose: with plain words for the signs, only a local part unlike a word is strict.
+    # "look at example dot com" is prose: with plain words for both signs, the local part must be unlike a word.
     Source(
-        "email", HIDDEN_EMAIL, "_hidden", False, lambda m: m.rlike(rf"{_JOINT}[A-Za-z0-9-]+\z|dot[)\]]? ?(?:{_DOMAINS})\z"),
-        rf"[(\[]at[)\]]|\A[^ ]*[._%+0-9{_JOINT}-]", rf"(?:{_JOINT}|dot[)\]]? ?)(?:{_DOMAINS})\z",
+        "email", HIDDEN_EMAIL, "_hidden", False,
+        lambda m: m.rlike(rf"[(\[]at[)\]]|\A[^ ]*[._%+0-9{_JOINT}-]")
+        & m.rlike(rf"{_JOINT}[A-Za-z0-9-]+\z|dot[)\]]? ?(?:{_DOMAINS})\z"),
+        r"\A[A-Za-z0-9][^ ]*[ (\[]", rf"(?:{_JOINT}|dot[)\]]? ?)(?:{_DOMAINS})\z",
     ),
     Source(
         "ip", HIDDEN_IP, "_hosts", False, lambda m: m.contains(":") | _in_range(F.regexp_replace(m, "[^0-9]+", ".")),
@@ -242,7 +245,7 @@ def with_candidates(docs: DataFrame, text: Column) -> DataFrame:
             "_numbers": F.when(F.col("_text").rlike(r"[0-9]\.[0-9]"), F.col("_text")),
             "_joined": F.when(F.col("_text").rlike("[0-9][ -]?[0-9]"), joined),
             "_plus": F.when(F.col("_text").contains("+"), F.col("_text")),
-            "_hosts": F.when(F.col("_text").rlike(r"[0-9] ?[(\[](?:\.|dot)[)\]]|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]"), F.col("_text")),
+            "_hosts": F.when(F.col("_text").rlike(_HOST_SIGNS), F.col("_text")),
             "_cards": F.when(F.col("_text").rlike("[0-9]{4}[ ./_-]?[0-9]{4}"), grouped),
             "_phones": F.when(F.col("_text").rlike(r"\+[0-9]|[0-9]{3}[ .-][0-9]{4}"), F.col("_text")),
         }

@@ -162,4 +162,4 @@ def test_planted_spans_are_added_and_clean_texts_left_alone(spark):
     extra = {(i, s) for i, spans in got.items() for s in spans if s not in base[i]}
     assert len(wanted & extra) >= 0.9 * len(wanted), sorted(texts[i] for i, _ in wanted - extra)[:20]
     assert len(wanted & extra) >= 0.9 * len(extra), [(texts[i], s) for i, s in extra - wanted][:20]
-    assert not [i for i in got if (i - 1000) % 3 == 2 and set(got[i]) - base[i]]
+    assert not [(texts[i], got[i]) for i in got if (i - 1000) % 3 == 2 and set(got[i]) - base[i]]
