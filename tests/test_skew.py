@@ -213,3 +213,16 @@ def test_ranked_rows_of_a_large_group(low_limits):
     order = W.partitionBy("phrase").orderBy(F.col("score").desc(), "n")
     want = rows.withColumn("rank", F.row_number().over(order).cast("bigint")).withColumn("n_rows", F.lit(rows.count()).cast("bigint"))
     assert same(got, want)
+
+
+def test_what_a_task_gets_is_bounded_however_many_cores_there_are(spark):
+    """Merged shuffle partitions stop at the advisory size; without one a task gets the total over the cores."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        session = tuned(spark)
+        rows = session.range(0, 12_000_000, 1, 8).select(F.xxhash64("id").alias("key"), F.xxhash64("id", F.lit(1)).alias("value"))
+        parts = rows.repartition("key").select(F.spark_partition_id().alias("part")).distinct().count()
+        assert parts >= 16  # about 200 MB of shuffled rows: 8 tasks of 25 MB without the setting
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
