@@ -29,23 +29,33 @@ def _bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def token_blocks(docs: DataFrame, id_col: str, text_col: str, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """(token, block, n_docs, first_doc, last_doc, postings) of integer ids, none null, each on one row.
+def _slots(docs: DataFrame) -> int:
+    """Parts of a bucket: two a shuffle partition over all buckets, so that tasks get about as much each."""
+    return 2 * -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
 
-    Tokens are shuffled once, by token and block, so a token that most documents hold is spread over its blocks; a
-    group holds the documents of one range of ids.
+
+def token_blocks(docs: DataFrame, id_col: str, text_col: str, block_ids: int = BLOCK_IDS, buckets: int = BUCKETS) -> DataFrame:
+    """(token, block, n_docs, first_doc, last_doc, postings, bucket) of integer ids, none null, each on one row.
+
+    Tokens are shuffled once, by cell: the bucket of the token and a slot in it that follows token and block, so a token
+    that most documents hold is spread over its blocks; a group holds the documents of one range of ids. A task has all
+    rows of its cells and few buckets, so neither the groupings nor a writer by buckets shuffle again.
     """
+    slots = _slots(docs)
     doc = F.col(id_col).cast("bigint")
-    block = F.floor(doc / F.lit(block_ids)).cast("bigint")
-    rows = docs.select(doc.alias("doc_id"), block.alias("block"), F.posexplode(tokens_of(F.col(text_col))).alias("place", "token"))
-    dealt = rows.repartition("token", "block")  # both groupings below go without another shuffle
-    places = dealt.groupBy("token", "block", "doc_id").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    return places.groupBy("token", "block").agg(
+    rows = docs.select(doc.alias("doc_id"), F.posexplode(tokens_of(F.col(text_col))).alias("place", "token"))
+    block = F.floor(F.col("doc_id") / F.lit(block_ids)).cast("bigint")
+    cell = _bucket(F.col("token"), buckets) * slots + F.pmod(F.xxhash64("token", block), F.lit(slots)).cast("int")
+    dealt = rows.withColumn("_cell", cell).repartition("_cell")
+    places = dealt.groupBy("_cell", "token", "doc_id").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    blocks = places.groupBy("_cell", "token", block.alias("block")).agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.min("doc_id").alias("first_doc"),
         F.max("doc_id").alias("last_doc"),
         F.array_sort(F.collect_list(F.struct("doc_id", "places"))).alias("postings"),
     )
+    bucket = F.floor(F.col("_cell") / F.lit(slots)).cast("int").alias("bucket")
+    return blocks.select("token", "block", "n_docs", "first_doc", "last_doc", "postings", bucket)
 
 
 def add_batch(
@@ -55,9 +65,9 @@ def add_batch(
 
     A batch of the same name is written anew. Ids must not stand in another batch; null texts hold no token.
     """
-    blocks = token_blocks(docs, id_col, text_col, block_ids).withColumn("bucket", _bucket(F.col("token"), buckets))
-    # One file a bucket and task range; rows in the order of tokens, so that a row group spans few of them.
-    ordered = blocks.repartitionByRange("bucket", "token", "block").sortWithinPartitions("bucket", "token", "block")
+    blocks = token_blocks(docs, id_col, text_col, block_ids, buckets)
+    # One file a bucket and task; rows in the order of tokens, so that a row group spans few of them.
+    ordered = blocks.sortWithinPartitions("bucket", "token", "block")
     writer = ordered.write.mode("overwrite").partitionBy("bucket").option("parquet.block.size", str(8 << 20))
     writer.parquet(f"{path.rstrip('/')}/batch={batch}")
 

@@ -18,7 +18,7 @@ import __spark_entry__ as entry
 from cohortloom.operators import bitmaps
 from cohortloom.operators.automaton import KeywordAutomaton, automaton_cohort, clued_patterns
 from cohortloom.operators.phrases import phrase_search
-from cohortloom.operators.positions import add_batch, read_blocks, stored_phrase_search
+from cohortloom.operators.positions import BUCKETS, add_batch, read_blocks, stored_phrase_search, token_blocks
 from cohortloom.operators.relevance import corpus_statistics, relevance
 from cohortloom.operators.sets import attrition, overlap
 from cohortloom.plans import stored_queries
@@ -75,6 +75,19 @@ def test_positions_equal_the_search_of_texts(spark, tmp_path):
     assert rows_of(stored_phrase_search(spark, path, ["missing"])) == []
 
 
+def test_positions_are_shuffled_once(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for partitions in ("8", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        blocks = token_blocks(docs, "doc_id", "text").sortWithinPartitions("bucket", "token", "block")
+        plan = blocks._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert len(re.findall(r"\bExchange ", plan)) == 1
+        spread = blocks.filter("token = 'the'").agg(F.count_distinct("bucket"), F.count_distinct("block"), F.count("*")).first()
+        assert spread[0] == 1 and spread[1] == spread[2]
+        assert blocks.filter(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)) != F.col("bucket")).isEmpty()
+
+
 def test_only_the_buckets_of_the_tokens_are_read(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     path = str(tmp_path / "positions")
