@@ -23,7 +23,7 @@ from cohortloom.operators.ranking import (
     with_ordinal,
     with_range,
 )
-from cohortloom.session import tuned
+from cohortloom.session import FIRST_PARTITIONS, PARTITION_INPUT, sized, tuned
 
 LOW = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -226,3 +226,25 @@ def test_what_a_task_gets_is_bounded_however_many_cores_there_are(spark):
         assert parts >= 16  # about 200 MB of shuffled rows: 8 tasks of 25 MB without the setting
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_partitions_follow_the_bytes_of_the_tables(spark, tmp_path):
+    """With a number of partitions that stays, a task would grow with the tables; merging cannot cut a partition."""
+    (tmp_path / "t.parquet").write_bytes(bytes(30 * PARTITION_INPUT))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.range(0, 12_000_000, 1, 8).select(F.xxhash64("id").alias("key"), F.xxhash64("id", F.lit(1)).alias("value"))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    try:
+        sized(tuned(spark), str(tmp_path))
+        assert spark.conf.get(FIRST_PARTITIONS) == "30"
+        # About 200 MB of shuffled rows: 4 tasks of 50 MB without.
+        parts = rows.groupBy("key").agg(F.max("value")).select(F.spark_partition_id().alias("part")).distinct().count()
+        assert parts >= 16
+        sized(spark, None)
+        assert spark.conf.get(FIRST_PARTITIONS, None) is None
+        spark.conf.set(FIRST_PARTITIONS, "7")
+        sized(spark, str(tmp_path))
+        assert spark.conf.get(FIRST_PARTITIONS) == "7"
+    finally:
+        spark.conf.unset(FIRST_PARTITIONS)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
