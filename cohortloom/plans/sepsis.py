@@ -230,9 +230,7 @@ def code_status(
         {"cmo_ds": occurs(text, fixed.DISCHARGE_CMO_PATTERN)},
         text.contains(fixed.DISCHARGE_CMO_PREFILTER),
     )
-    mentions = nursing_mentions(noteevents)
-    if use_note_flag:
-        mentions = mentions.filter(F.col("cmo") == 1)
+    mentions = nursing_mentions(noteevents, flagged_only=use_note_flag)
     # One row per stay and arrival; its windows may differ in their end, and the earliest note of any of them counts.
     stay = [*ADMISSION, "icustay_id", "intime"]
     windows = icustays.select(*stay, "outtime").distinct()
@@ -255,8 +253,12 @@ def code_status(
     )
 
 
-def nursing_mentions(noteevents: DataFrame) -> DataFrame:
-    """(hadm_id, charttime, cmo): nursing and physician notes that mention comfort measures."""
+def nursing_mentions(noteevents: DataFrame, flagged_only: bool = False) -> DataFrame:
+    """(hadm_id, charttime, cmo): nursing and physician notes that mention comfort measures.
+
+    ``flagged_only`` leaves those with ``cmo`` 1. The patterns are then a filter, which runs where the notes are read: no
+    text goes through a join that the notes come from.
+    """
     text = F.col("text")
     lowered = F.lower(text)
     pattern = F.lit(False)
@@ -264,11 +266,12 @@ def nursing_mentions(noteevents: DataFrame) -> DataFrame:
         pattern = pattern | occurs(text, expression)
     for expression in fixed.NURSING_CMO_LOWERED_PATTERNS:
         pattern = pattern | occurs(lowered, expression)
+    prefilter = lowered.contains(fixed.NURSING_CMO_PREFILTER)
     return text_evidence(
         noteevents.filter(F.col("category").isin(fixed.NURSING_CATEGORIES)),
         ["hadm_id", "charttime"],
-        {"cmo": pattern},
-        lowered.contains(fixed.NURSING_CMO_PREFILTER),
+        {"cmo": F.lit(True) if flagged_only else pattern},
+        prefilter & pattern if flagged_only else prefilter,
     )
 
 

@@ -237,6 +237,21 @@ def test_nursing_patterns(spark, text, want):
     assert sepsis.nursing_mentions(df).first().cmo == want
 
 
+def test_flagged_mentions_are_those_with_the_flag_and_carry_no_text_through_joins(spark):
+    texts = ["pt. is cmo", "was made cmo", "is CMO. Code status: \n Comfort measures only", None, "nothing", "not cmo", "made CMO"]
+    notes = [(i, 1, i % 4, at(i % 3), "Nursing", None, text) for i, text in enumerate([*texts, *reversed(texts)])]
+    notes += [(90, 1, None, at(1), "Nursing", None, "pt. is cmo"), (91, 1, 2, None, "Nursing", None, "pt. is cmo")]
+    read = spark.createDataFrame(notes, NOTE).repartition(2)
+    df = read.join(spark.range(100).select(F.col("id").cast("int").alias("row_id")).repartition(2), "row_id")
+    columns = ["hadm_id", "charttime", "cmo"]
+    flagged = sepsis.nursing_mentions(df, flagged_only=True)
+    assert rows(flagged, *columns) == rows(sepsis.nursing_mentions(df).filter("cmo = 1"), *columns)
+    assert flagged.count() > 1
+    plan = flagged._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join ", 1)
+    assert "text" not in above and "text" in below
+
+
 def test_many_notes_and_charts_give_one_row(spark):
     charts = [(100, at(h), 128, "Comfort Measures", None, None) for h in range(1, 11)]
     notes = [(h, 1, 10, at(h), "Nursing", None, "cmo") for h in range(1, 11)]
