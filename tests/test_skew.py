@@ -228,6 +228,18 @@ def test_what_a_task_gets_is_bounded_however_many_cores_there_are(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_what_a_task_reads_of_a_file_is_bounded(spark, tmp_path):
+    """A scan sorts and groups the rows of its part of a file before the shuffle."""
+    wide = spark.range(0, 700_000, 1, 1).select(*[F.xxhash64("id", F.lit(i)).alias(f"c{i}") for i in range(10)])
+    wide.write.parquet(f"{tmp_path}/t")  # one file of 56 MB
+    name = "spark.sql.files.minPartitionNum"
+    spark.conf.set(name, "1")  # as many bytes to a task as if the files were large
+    try:
+        assert tuned(spark).read.parquet(f"{tmp_path}/t").rdd.getNumPartitions() >= 2
+    finally:
+        spark.conf.unset(name)
+
+
 def test_partitions_follow_the_bytes_of_the_tables(spark, tmp_path):
     """With a number of partitions that stays, a task would grow with the tables; merging cannot cut a partition."""
     (tmp_path / "t.parquet").write_bytes(bytes(30 * PARTITION_INPUT))
