@@ -6,7 +6,7 @@ import gc
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -68,16 +68,21 @@ class LibraryEncoder:
 
     def _each(self, pieces: list[list[str]]) -> list[bytes]:
         """The ids of every list of pieces."""
-        tokenize, width = self.whole.model.tokenize, self.kind.itemsize
-        found = [[token.id for piece in one for token in tokenize(piece)] for one in pieces]
-        data = np.array([i for one in found for i in one], self.kind).tobytes()
+        tokenize = self.whole.model.tokenize
+        return self._bytes([[token.id for piece in one for token in tokenize(piece)] for one in pieces])
+
+    def _bytes(self, found: list[list[int]]) -> list[bytes]:
+        width = self.kind.itemsize
+        data = np.fromiter(chain.from_iterable(found), self.kind).tobytes()
         ends = [width * end for end in accumulate(map(len, found), initial=0)]
-        return [data[a:b] for a, b in zip(ends, ends[1:])]
+        return [data[a:b] for a, b in pairwise(ends)]
 
     def _plain(self, words: list[str]) -> list[bytes]:
         if not self.by_bytes:
             return self._spelled(words)
-        return self._each([[word] for word in self._letters("\n".join(words)).split(self.letters[10])])
+        tokenize = self.whole.model.tokenize
+        pieces = self._letters("\n".join(words)).split(self.letters[10])
+        return self._bytes([[token.id for token in tokenize(piece)] for piece in pieces])
 
     def _spelled(self, chunks: list[str]) -> list[bytes]:
         if self.whole.normalizer is not None:

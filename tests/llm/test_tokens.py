@@ -15,6 +15,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from cohortloom.llm import packing, prefix_bpe, token_counts, token_files
+from cohortloom.llm.common import ByteMemo
 from cohortloom.llm.library_tokens import LibraryEncoder
 from tests.llm.plain import EDGE_TEXTS, edge_docs, empty_docs
 
@@ -183,3 +184,21 @@ def test_memo_is_bounded_by_bytes(spark):
         held = [*memo.new.items(), *memo.old.items()]
         assert sum(200 + len(k) + len(v) for k, v in held) <= 150_000 and all(len(k) <= 64 for k, _ in held)
     assert len(asked) < 300 * 50
+
+
+def test_memo_asks_for_missing_texts_once_and_in_their_order():
+    """Texts lie in memory in their order: hundreds of thousands of them are not to be visited in that of a set."""
+    asked = []
+
+    def compute(names):
+        asked.append(list(names))
+        return [name.encode() for name in names]
+
+    memo = ByteMemo(room=100_000, longest=6)
+    names = [f"w{i}" for i in range(1000)]  # enough to be set aside as the older generation
+    assert memo.values(names, compute) == [name.encode() for name in names] and asked == [names]
+    again = ["new", "w7", "longer than kept", "new", "w3", "w999", "last"]
+    assert memo.values(again, compute) == [name.encode() for name in again]
+    assert asked[1:] == [["new", "longer than kept", "last"]]
+    assert memo.values(["longer than kept", "w7", "last"], compute) == [b"longer than kept", b"w7", b"last"]
+    assert asked[2:] == [["longer than kept"]]
