@@ -25,17 +25,26 @@ _START, _LINE = "\x1d", "\x1e"
 _PLAIN = f"^(?P<lead>[{_START}{_LINE}]?)(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,]?)$"
 _CUT = re.compile(r" (?=\S)")
 BATCH_BYTES = 16 << 20
+LAID = 1 << 16
 
 
 def _laid(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The chosen ones of the ranges that follow each other in ``values``, one behind the other, and their edges."""
-    each = sizes[which]
-    edges = np.concatenate([[0], np.cumsum(each)])
+    """The chosen ones of the ranges that follow each other in ``values``, one behind the other, and their edges.
+
+    Places are worked out for ``LAID`` ranges at a time, as those of a whole batch take several times its ids.
+    """
+    edges = np.zeros(len(which) + 1, np.int64)
+    np.cumsum(sizes[which], out=edges[1:])
     starts = np.cumsum(sizes) - sizes
-    kind = np.int32 if max(edges[-1], len(values)) < 1 << 31 else np.int64
-    places = np.repeat((starts[which] - edges[:-1]).astype(kind), each)
-    places += np.arange(edges[-1], dtype=kind)
-    return values[places], edges
+    out = np.empty(edges[-1], values.dtype)
+    for low in range(0, len(which), LAID):
+        some = which[low : low + LAID]
+        first, last = edges[low], edges[low + len(some)]
+        kind = np.int32 if max(last - first, len(values)) < 1 << 31 else np.int64
+        places = np.repeat((starts[some] - (edges[low : low + len(some)] - first)).astype(kind), sizes[some])
+        places += np.arange(last - first, dtype=kind)
+        out[first:last] = values[places]
+    return out, edges
 
 
 class LibraryEncoder:
@@ -145,11 +154,12 @@ class LibraryEncoder:
         if self.words:
             parts = pc.utf8_split_whitespace(searched)
         else:
-            marked = pc.binary_join_element_wise(_START, pc.replace_substring(texts, "\n", " " + _LINE), "")
-            parts = pc.split_pattern(marked, " ")
+            searched = pc.binary_join_element_wise(_START, pc.replace_substring(texts, "\n", " " + _LINE), "")
+            parts = pc.split_pattern(searched, " ")
         coded = parts.flatten().dictionary_encode()
         keys = coded.dictionary
         index, edges = coded.indices.to_numpy(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        del searched, parts, coded  # the texts cut up, not needed beside the ids
         if not self.words:
             # White space that meets white space, or ends a text, belongs to pieces that cross the cuts.
             ends = pc.utf8_trim_whitespace(pc.utf8_slice_codeunits(pc.utf8_ltrim(keys, _LINE), 0, 1))
@@ -171,18 +181,24 @@ class LibraryEncoder:
             cuts = np.concatenate([[0], np.cumsum([len(piece) for piece in pieces])])
         return ids, cuts
 
+    def _ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        collecting = gc.isenabled()
+        gc.disable()  # a batch makes millions of small lists and no cycles
+        try:
+            ids, cuts = self.encode_batch(texts)
+        finally:
+            if collecting:
+                gc.enable()
+        return np.insert(ids, cuts[1:], np.uint32(end_id)), cuts + np.arange(len(cuts))
+
     def encode_with_end(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(number of the first text, ids, cuts) of some megabytes of texts at a time, ``end_id`` behind every text."""
+        """(number of the first text, ids, cuts) of some megabytes of texts at a time, ``end_id`` behind every text.
+
+        No name here holds what is handed out, which would last beside the next batch.
+        """
         sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
         for low, high in text_chunks(sizes, BATCH_BYTES):
-            collecting = gc.isenabled()
-            gc.disable()  # a batch makes millions of small lists and no cycles
-            try:
-                ids, cuts = self.encode_batch(texts.slice(low, high - low))
-            finally:
-                if collecting:
-                    gc.enable()
-            yield low, np.insert(ids, cuts[1:], np.uint32(end_id)), cuts + np.arange(len(cuts))
+            yield low, *self._ended(texts.slice(low, high - low), end_id)
 
 
 @lru_cache(maxsize=4)

@@ -78,6 +78,7 @@ def _tokenised(docs: DataFrame, vocabulary: str, end_id: int, kind: str, id_col:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, n), pa.array(keys), pa.array(np.diff(cuts)), binary], names
                 )
+                del ids, cuts, keys, packed, ends, binary  # else they last beside the next ones
 
     names = ["doc_id", "key", "n_tokens", "ids"]
     schema = "doc_id bigint, key bigint, n_tokens bigint, ids binary"

@@ -5,18 +5,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
 from cohortloom.llm import packing, prefix_bpe, token_counts, token_files
 from cohortloom.llm.common import ByteMemo
-from cohortloom.llm.library_tokens import LibraryEncoder
+from cohortloom.llm.library_tokens import LibraryEncoder, _laid
+from cohortloom.session import tuned
 from tests.llm.plain import EDGE_TEXTS, edge_docs, empty_docs
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -202,3 +205,46 @@ def test_memo_asks_for_missing_texts_once_and_in_their_order():
     assert asked[1:] == [["new", "longer than kept", "last"]]
     assert memo.values(["longer than kept", "w7", "last"], compute) == [b"longer than kept", b"w7", b"last"]
     assert asked[2:] == [["longer than kept"]]
+
+
+def test_ids_are_laid_out_in_little_more_than_their_own_memory():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 9, 1000)
+    values = rng.integers(0, 50_000, sizes.sum()).astype("<u4")
+    which = rng.integers(0, 1000, 400_000)
+    tracemalloc.start()
+    ids, edges = _laid(values, sizes, which)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1.5 * (ids.nbytes + edges.nbytes)
+    starts = np.cumsum(sizes) - sizes
+    expected = [values[starts[i] : starts[i] + sizes[i]] for i in which]
+    assert np.array_equal(ids, np.concatenate(expected))
+    assert np.array_equal(edges, np.cumsum([0] + [len(part) for part in expected]))
+    ids, edges = _laid(values, sizes, which[:0])
+    assert ids.tolist() == [] and edges.tolist() == [0]
+
+
+def test_encoding_keeps_no_batch_beside_the_next(monkeypatch):
+    monkeypatch.setattr("cohortloom.llm.library_tokens.BATCH_BYTES", 1 << 20)
+    encoder = LibraryEncoder(public_tokenizers.path("word_bpe_49k.json"), True)
+    texts = pa.array(["a b c d " * 50_000] * 5)
+    left, sizes = [], []
+    tracemalloc.start()
+    for _, ids, cuts in encoder.encode_with_end(texts, 1):
+        sizes.append(ids.nbytes)
+        del ids, cuts
+        left.append(tracemalloc.get_traced_memory()[0])
+    tracemalloc.stop()
+    assert len(left) == 3 and max(left) < 0.1 * max(sizes)
+
+
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    texts = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('0123456789', 1000) AS text")
+    tuned(spark)
+    found = [row["size"] for row in texts.mapInArrow(sizes, "size bigint").collect()]
+    assert sum(found) > 40_000_000 and max(found) < 20_000_000
