@@ -33,6 +33,7 @@ def encode_documents(
             for low, ids, cuts in encoder.encode_with_end(batch.column(1), end_id):
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(lists)), lists], ["doc_id", "ids"])
+                del ids, cuts, lists  # else they last beside the next ones
 
     return texts_of(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id bigint, ids array<int>")
 
