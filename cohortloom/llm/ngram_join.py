@@ -2,18 +2,18 @@
 
 Two sets that are alike enough share an element among the first few of any common order (prefix filter). With rare
 shingles first, few documents meet by chance. Documents that share such a shingle form a cell; inside a cell an
-inverted index is searched for documents that occur in at least T lists of the query: short lists are merged by a heap,
-long ones probed. Cells are searched breadth first, each document against those not yet reached, so a group of near
-copies costs few searches and gives one link per document, never all pairs.
+inverted index is searched for documents that occur in at least T lists of the query: short lists are merged by counting,
+and only what they leave possible is looked up in the long ones. Cells are searched breadth first, each document against
+those not yet reached, so a group of near copies costs few searches and gives one link per document, never all pairs.
+
+A cell of more than one block is first searched block by block, beside some members that stand in all of its blocks. What
+that connects needs no search among itself any more: only the others meet all blocks, and each other.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator, Sequence
-from heapq import merge
-from itertools import groupby
 from math import log2
 
 import numpy as np
@@ -39,7 +39,7 @@ from .common import (
 from .components import components
 
 N, PERCENT = 5, 80
-BLOCK = 512
+BLOCK, HUBS = 512, 32
 SKETCH_BITS = 24
 BROADCAST_ROWS = 1 << 20
 _U = np.uint64
@@ -75,43 +75,47 @@ class Index:
         self.keys = values[self.starts]
         self.ends = np.append(self.starts[1:], len(values))
 
-    def lists(self, query: np.ndarray) -> list[list[int]]:
+    def lists(self, query: np.ndarray) -> list[np.ndarray]:
         """The non-empty lists of the query's shingles."""
         if not len(self.keys):
             return []
         at = np.searchsorted(self.keys, query)
         at[at == len(self.keys)] = 0
         at = at[self.keys[at] == query]
-        return [self.owner[a:b].tolist() for a, b in zip(self.starts[at], self.ends[at])]
+        return [self.owner[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist())]
 
 
-def divide_skip(lists: list[list[int]], least: int, mu: float = 0.01) -> dict[int, int]:
-    """Numbers that occur in at least ``least`` lists, with how often.
+def _occurrences(lists: Sequence[np.ndarray], least: int, mu: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that occur in at least ``least`` lists, rising, and how often.
 
-    The longest lists are set aside, at most least - 1 of them; the others are merged by a heap. What occurs in them
-    often enough to reach ``least`` with all long lists is looked up in those by binary search.
+    The longest lists are set aside, at most least - 1 of them; the others are merged. What occurs in them often enough
+    to reach ``least`` with all long lists is looked up in those.
     """
+    none = np.zeros(0, np.int64)
     if len(lists) < least or least < 1:
-        return {}
+        return none, none
     lists = sorted(lists, key=len)
     aside = min(least - 1, int(least / (mu * log2(max(2, len(lists[-1]))) + 1)))
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    found = {}
-    for number, run in groupby(merge(*short)):
-        times = sum(1 for _ in run)
-        left = aside
-        if times + left < least:
-            continue
-        for ids in long:
-            at = bisect_left(ids, number)
-            left -= 1
-            if at < len(ids) and ids[at] == number:
-                times += 1
-            elif times + left < least:
-                break
-        if times >= least:
-            found[number] = times
-    return found
+    times = np.bincount(np.concatenate(short))
+    numbers = np.flatnonzero((times > 0) & (times + aside >= least))
+    times = times[numbers]
+    if len(numbers) and long:
+        times = times + np.bincount(np.concatenate(long), minlength=numbers[-1] + 1)[numbers]
+    enough = times >= least
+    return numbers[enough], times[enough]
+
+
+def divide_skip(lists: Sequence[Sequence[int]], least: int, mu: float = 0.01) -> dict[int, int]:
+    """Numbers that occur in at least ``least`` lists, with how often."""
+    numbers, times = _occurrences([np.asarray(ids, np.int64) for ids in lists], least, mu)
+    return dict(zip(numbers.tolist(), times.tolist()))
+
+
+def _partners(index: Index, sizes: np.ndarray, query: np.ndarray, percent: int) -> np.ndarray:
+    """The numbers of the indexed sets that are alike to the query."""
+    numbers, common = _occurrences(index.lists(query), least_overlap(len(query), percent))
+    return numbers[alike(common, len(query), sizes[numbers], percent)]
 
 
 def linked_groups(sets: Sequence[np.ndarray], percent: int = PERCENT) -> Iterator[tuple[int, int]]:
@@ -120,22 +124,32 @@ def linked_groups(sets: Sequence[np.ndarray], percent: int = PERCENT) -> Iterato
     Breadth first: a set that is reached searches among those not reached yet, in an index that is rebuilt when it
     has halved.
     """
-    waiting = set(range(len(sets)))
-    index, indexed = Index(sets, sorted(waiting)), len(waiting)
-    while waiting:
-        root = min(waiting)
-        waiting.discard(root)
+    sizes = np.array([len(one) for one in sets], np.int64)
+    waiting, left = np.ones(len(sets), bool), len(sets)
+    index, indexed = Index(sets, range(len(sets))), left
+    for root in range(len(sets)):
+        if not waiting[root]:
+            continue
+        waiting[root], left = False, left - 1
         reached = [root]
-        while reached and waiting:
+        while reached and left:
             i = reached.pop()
-            if 2 * len(waiting) < indexed:
-                index, indexed = Index(sets, sorted(waiting)), len(waiting)
-            query = sets[i]
-            for j, common in divide_skip(index.lists(query), least_overlap(len(query), percent)).items():
-                if j in waiting and alike(common, len(query), len(sets[j]), percent):
-                    waiting.discard(j)
-                    reached.append(j)
-                    yield i, j
+            if 2 * left < indexed:
+                index, indexed = Index(sets, np.flatnonzero(waiting).tolist()), left
+            found = _partners(index, sizes, sets[i], percent)
+            found = found[waiting[found]]
+            waiting[found], left = False, left - len(found)
+            reached += found.tolist()
+            yield from ((i, j) for j in found.tolist())
+
+
+def links_across(sets: Sequence[np.ndarray], others: Sequence[bool], percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+    """(i, j): for every one of the ``others`` a set j that is not among them and alike to it, if there is one."""
+    sizes = np.array([len(one) for one in sets], np.int64)
+    index = Index(sets, [j for j, other in enumerate(others) if not other])
+    for i, other in enumerate(others):
+        if other:
+            yield from ((i, int(j)) for j in _partners(index, sizes, sets[i], percent)[:1])
 
 
 # --- sketches ---------------------------------------------------------------------------------------------------
@@ -299,18 +313,66 @@ def _cells(shared: DataFrame) -> DataFrame:
     return shared.join(marks.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
 
 
+def _parted(members: DataFrame, percent: int) -> DataFrame:
+    """The members with their ``part``: by rising size, a group falls apart where a set is too large for the one before."""
+    by_size = W.partitionBy("key").orderBy("size", "mark")
+    gap = F.col("size") * percent > F.lag("size", 1, 0).over(by_size) * 100
+    return members.withColumn("_gap", gap.cast("int")).withColumn("part", F.sum("_gap").over(by_size)).drop("_gap")
+
+
+def _large(cells: DataFrame, percent: int, block: int) -> DataFrame:
+    """(key, mark, size, part, n): the parts of cells with more members than a block; ``n`` is their number."""
+    counted = _parted(cells, percent).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key", "part")))
+    return counted.filter(F.col("n") > block)
+
+
+def _beside_hubs(large: DataFrame, block: int) -> DataFrame:
+    """(work, mark): blocks of the parts, each with the same ``HUBS`` members of its part.
+
+    Near copies share many cells of nearly the same members: a member goes with the largest of its parts alone.
+    """
+    part = ["key", "part"]
+    own = large.groupBy("mark").agg(F.max(F.struct("n", *part, "size")).alias("_of")).select("_of.*", "mark")
+    placed = own.withColumn("_place", F.row_number().over(W.partitionBy(*part).orderBy("size", "mark")))
+    placed = placed.withColumn("block", F.floor((F.col("_place") - 1) / block))
+    by_hash = W.partitionBy(*part).orderBy(F.xxhash64("mark"), "mark")
+    hubs = large.withColumn("_place", F.row_number().over(by_hash)).filter(F.col("_place") <= HUBS)
+    beside = placed.select(*part, "block").distinct().join(hubs.select(*part, "mark"), part)
+    rows = placed.select(*part, "block", "mark").unionByName(beside)
+    return rows.select(F.xxhash64(*part, "block").alias("work"), "mark").distinct()
+
+
+def _across(others: DataFrame, members: DataFrame, percent: int, block: int) -> DataFrame:
+    """(work, mark, other): blocks of others with every block of their group's members whose sizes allow links."""
+
+    def placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        by_size = W.partitionBy("key").orderBy("size", "mark")
+        rows = rows.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / block))
+        return rows, rows.groupBy("key", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+
+    def named(bounds: DataFrame, name: str) -> DataFrame:
+        return bounds.select("key", *[F.col(column).alias(f"{name}_{column}") for column in ("block", "low", "high")])
+
+    (others, a), (members, b) = placed(others), placed(members)
+    near = named(a, "a").join(named(b, "b"), "key").filter(
+        (F.col("a_low") * percent <= F.col("b_high") * 100) & (F.col("b_low") * percent <= F.col("a_high") * 100)
+    )
+    work = near.withColumn("work", F.xxhash64("key", "a_block", "b_block", F.lit("across")))
+    parts = [
+        rows.join(work.select("key", F.col(f"{name}_block").alias("block"), "work"), ["key", "block"]).select("work", "mark", F.lit(other).alias("other"))
+        for rows, name, other in ((others, "a", True), (members, "b", False))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def _work(members: DataFrame, percent: int, block: int) -> DataFrame:
     """(work, mark): groups of (key, mark, size), cut into pieces of work of at most two blocks.
 
-    By rising size, a group falls apart where a set is too large for the one before; single sets are left out. Large
-    parts are cut into blocks of neighbouring sizes, and every two blocks whose sizes allow links are one piece of work.
+    A group falls apart by sizes (``_parted``); single sets are left out. Large parts are cut into blocks of neighbouring sizes, and every two blocks whose sizes allow links are one piece of work.
     """
-    by_size = W.partitionBy("key").orderBy("size", "mark")
-    gap = F.col("size") * percent > F.lag("size", 1, 0).over(by_size) * 100
-    parted = members.withColumn("_gap", gap.cast("int")).withColumn("part", F.sum("_gap").over(by_size)).drop("_gap")
     inside = W.partitionBy("key", "part")
     placed = (
-        parted.withColumn("_n", F.count(F.lit(1)).over(inside))
+        _parted(members, percent).withColumn("_n", F.count(F.lit(1)).over(inside))
         .filter(F.col("_n") > 1)
         .withColumn("block", F.floor((F.row_number().over(inside.orderBy("size", "mark")) - 1) / block).cast("int"))
     )
@@ -323,6 +385,30 @@ def _work(members: DataFrame, percent: int, block: int) -> DataFrame:
     return placed.join(work, [*key, "block"]).select("work", "mark")
 
 
+def _apart(cells: DataFrame, large: DataFrame, known: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is left to search when ``labels`` (id, component) connects many members of the large parts.
+
+    First (key, mark, size): all other cells, and of the large parts the members outside the part's commonest component,
+    which are not connected with each other. Then, both by component as their ``key``, the members outside that must meet it
+    and the members that are in it.
+    """
+    part = ["key", "part"]
+    named = lookup_join(large.join(known.select("mark", "id"), "mark"), labels, ["id"], "left")
+    named = named.withColumn("component", F.coalesce("component", "id"))
+    counts = named.groupBy(*part, "component").agg(F.count(F.lit(1)).alias("m"))
+    main = counts.groupBy(*part).agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("kinds"))
+    split = named.join(main.filter("kinds > 1"), part).withColumn("outside", F.col("component") != F.col("main"))
+    outside = split.filter("outside")
+    # A cell with a large part may have small ones; cells are told apart by their parts now.
+    rest = cells.join(large.select("key", "mark").distinct(), ["key", "mark"], "left_anti")
+    alone = rest.unionByName(outside.select(F.xxhash64(*part).alias("key"), "mark", "size"))
+    return (
+        alone,
+        outside.select(F.col("main").alias("key"), "mark", "size").distinct(),
+        split.filter("NOT outside").select(F.col("main").alias("key"), "mark", "size").distinct(),
+    )
+
+
 def _together(rows: DataFrame) -> DataFrame:
     """The rows of a piece of work one behind the other in one task."""
     return rows.repartition(partitions(rows.sparkSession), "work").sortWithinPartitions("work")
@@ -364,14 +450,18 @@ def _promising(work: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(named: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): links found by searching every piece of work, given as stored (work, rid, id)."""
+    """(a, b): links found by searching every piece of work, given as stored (work, rid, id, other).
+
+    Where some rows of a piece are ``other``, these are searched for among the rest, which is connected; else every row is.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches):
-            texts = [text.encode().lower() for _, _, text in piece]
+            texts = [row[2].encode().lower() for row in piece]
             sets = [shingle_set(words, n) for _, words in hashed_words(texts)]
             order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-            found = list(linked_groups([sets[i] for i in order], percent))
+            others, ordered = [piece[i][3] for i in order], [sets[i] for i in order]
+            found = list(links_across(ordered, others, percent) if any(others) else linked_groups(ordered, percent))
             ends = [pa.array([piece[order[pair[side]]][1] for pair in found], pa.int64()) for side in (0, 1)]
             yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
@@ -380,7 +470,7 @@ def _links(named: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame
         needed = F.broadcast(needed)
     # However often a row is repeated, its text comes once, and once for a task before it is shuffled.
     texts = rows.select("rid", "text").join(needed, "rid", "left_semi").dropDuplicates(["rid"])
-    texts = texts.join(named, "rid").select("work", "id", "text")
+    texts = texts.join(named, "rid").select("work", "id", "text", "other")
     return _together(texts).mapInArrow(tidied(search), "a bigint, b bigint").distinct()
 
 
@@ -413,13 +503,31 @@ def similar_documents(
         .select("mark", "first.id", "first.rid", "size", "sketch")
     )
     shared = stored(_shared(rows, levels, n, percent), "shared-shingles")
-    groups = stored(_promising(_work(_cells(shared), percent, block), known, percent), "promising")
-    work = _work(groups, percent, block).join(known.select("mark", "rid", "id"), "mark")
-    named = stored(work.select("work", "rid", "id"), "work")
-    links = stored(_links(named, rows, n, percent), "links")
-    discard(groups, named)
+    cells = stored(_cells(shared), "cells")
     discard(shared)
-    reached = components(links, "a", "b")
+    large = stored(_large(cells, percent, block), "large-cells")
+
+    def search(work: DataFrame, purpose: str) -> DataFrame:
+        named = stored(work.join(known.select("mark", "rid", "id"), "mark").select("work", "rid", "id", "other"), "work")
+        links = stored(_links(named, rows, n, percent), purpose)
+        discard(named)
+        return links
+
+    small, across, first = cells, None, None
+    if not large.isEmpty():
+        first = search(_beside_hubs(large, block).withColumn("other", F.lit(False)), "first-links")
+        labels = components(first, "a", "b")
+        alone, others, members = (stored(part, "apart") for part in _apart(cells, large, known, labels))
+        small, across = alone, _across(others, members, percent, block)
+    groups = stored(_promising(_work(small, percent, block), known, percent), "promising")
+    work = _work(groups, percent, block).withColumn("other", F.lit(False))
+    links = search(work if across is None else work.unionByName(across), "links")
+    discard(groups, cells, large)
+    if across is None:
+        reached = components(links, "a", "b")
+    else:
+        reached = components(links.unionByName(first), "a", "b")
+        discard(alone, others, members, first)
     discard(links)
     # Of rows with equal sets the smallest id is their node.
     nodes = sets.filter(F.col("n_shingles") > 0).groupBy("content").agg(F.min("id").alias("node"))

@@ -128,3 +128,48 @@ def test_repeated_rows_beside_a_near_copy(spark):
     levels = spark.sparkContext.broadcast(np.zeros(1 << ngram_join.SKETCH_BITS, np.uint8))
     shared = ngram_join._shared(keyed, levels, 5, 80)
     assert shared.groupBy("key").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_work_grows_with_the_members_of_a_group(spark, monkeypatch):
+    """Rows of all pieces of work, for one group of near copies of several blocks; with pairs of blocks they grew 16 times."""
+    sizes, kept = [], ngram_join.stored
+
+    def counting(frame, purpose):
+        out = kept(frame, purpose)
+        if purpose == "work":
+            sizes[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counting)
+    base = sentence(5, 200)
+    for many in (100, 400):
+        sizes.append(0)
+        docs = edge_docs(spark, [(i, edited(base, i, 1 + i % 3)) for i in range(many)])
+        got = ngram_join.similar_documents(docs, block=32).collect()
+        assert {r.component_id for r in got} == {0}
+    assert sizes[1] < 8 * sizes[0]
+
+
+def test_members_outside_the_main_component_meet_all_of_it(spark):
+    """Far copies that link to few members, to each other, or to none, beside a group of many blocks."""
+    base = sentence(8, 150)
+    near = [(i, edited(base, i, i % 3)) for i in range(120)]
+    far = [(200 + i, edited(base, 300 + i, 5 + i)) for i in range(12)]
+    pairs = [(300 + i, edited(edited(base, 500 + i // 2, 14), 600 + i, i % 2)) for i in range(12)]
+    rows = near + far + pairs
+    random.Random(4).shuffle(rows)
+    for block in (4, 16):
+        check(spark, rows, block=block)
+
+
+def test_links_across_find_every_other_with_a_partner():
+    draw = np.random.Generator(np.random.PCG64(11))
+    pool = np.unique(draw.integers(0, 1 << 60, 45).astype(np.uint64))
+    for _ in range(30):
+        sets = [np.sort(draw.choice(pool, draw.integers(25, len(pool)), replace=False)) for _ in range(30)]
+        others = (draw.random(30) < 0.4).tolist()
+        found = dict(ngram_join.links_across(sets, others))
+        for i in range(30):
+            near = {j for j in range(30) if not others[j] and others[i]
+                    and ngram_join.alike(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), 80)}
+            assert found[i] in near if near else i not in found
