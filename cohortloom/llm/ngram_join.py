@@ -320,10 +320,10 @@ def _parted(members: DataFrame, percent: int) -> DataFrame:
     return members.withColumn("_gap", gap.cast("int")).withColumn("part", F.sum("_gap").over(by_size)).drop("_gap")
 
 
-def _large(cells: DataFrame, percent: int, block: int) -> DataFrame:
-    """(key, mark, size, part, n): the parts of cells with more members than a block; ``n`` is their number."""
+def _counted(cells: DataFrame, percent: int) -> DataFrame:
+    """(key, mark, size, part, n): the parts of the cells with more than one member; ``n`` is their number."""
     counted = _parted(cells, percent).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("key", "part")))
-    return counted.filter(F.col("n") > block)
+    return counted.filter(F.col("n") > 1)
 
 
 def _beside_hubs(large: DataFrame, block: int) -> DataFrame:
@@ -385,12 +385,10 @@ def _work(members: DataFrame, percent: int, block: int) -> DataFrame:
     return placed.join(work, [*key, "block"]).select("work", "mark")
 
 
-def _apart(cells: DataFrame, large: DataFrame, known: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What is left to search when ``labels`` (id, component) connects many members of the large parts.
+def _apart(large: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, mark, size, main, outside): what is left to search when ``labels`` (id, component) connects many members.
 
-    First (key, mark, size): all other cells, and of the large parts the members outside the part's commonest component,
-    which are not connected with each other. Then, both by component as their ``key``, the members outside that must meet it
-    and the members that are in it.
+    ``main`` is the commonest component of the part, ``key`` stands for the part. Parts that one component holds are done.
     """
     part = ["key", "part"]
     named = lookup_join(large.join(known.select("mark", "id"), "mark"), labels, ["id"], "left")
@@ -398,15 +396,7 @@ def _apart(cells: DataFrame, large: DataFrame, known: DataFrame, labels: DataFra
     counts = named.groupBy(*part, "component").agg(F.count(F.lit(1)).alias("m"))
     main = counts.groupBy(*part).agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("kinds"))
     split = named.join(main.filter("kinds > 1"), part).withColumn("outside", F.col("component") != F.col("main"))
-    outside = split.filter("outside")
-    # A cell with a large part may have small ones; cells are told apart by their parts now.
-    rest = cells.join(large.select("key", "mark").distinct(), ["key", "mark"], "left_anti")
-    alone = rest.unionByName(outside.select(F.xxhash64(*part).alias("key"), "mark", "size"))
-    return (
-        alone,
-        outside.select(F.col("main").alias("key"), "mark", "size").distinct(),
-        split.filter("NOT outside").select(F.col("main").alias("key"), "mark", "size").distinct(),
-    )
+    return split.select(F.xxhash64(*part).alias("key"), "mark", "size", "main", "outside")
 
 
 def _together(rows: DataFrame) -> DataFrame:
@@ -502,10 +492,10 @@ def similar_documents(
         )
         .select("mark", "first.id", "first.rid", "size", "sketch")
     )
+    known = stored(known, "distinct-sets")
     shared = stored(_shared(rows, levels, n, percent), "shared-shingles")
-    cells = stored(_cells(shared), "cells")
+    cells = stored(_counted(_cells(shared), percent), "cells")
     discard(shared)
-    large = stored(_large(cells, percent, block), "large-cells")
 
     def search(work: DataFrame, purpose: str) -> DataFrame:
         named = stored(work.join(known.select("mark", "rid", "id"), "mark").select("work", "rid", "id", "other"), "work")
@@ -513,22 +503,28 @@ def similar_documents(
         discard(named)
         return links
 
-    small, across, first = cells, None, None
+    # A part of one block is one piece of work.
+    work = cells.filter(F.col("n") <= block).select(F.xxhash64("key", "part").alias("work"), "mark")
+    large = cells.filter(F.col("n") > block)
+    first, split = None, None
     if not large.isEmpty():
         first = search(_beside_hubs(large, block).withColumn("other", F.lit(False)), "first-links")
-        labels = components(first, "a", "b")
-        alone, others, members = (stored(part, "apart") for part in _apart(cells, large, known, labels))
-        small, across = alone, _across(others, members, percent, block)
-    groups = stored(_promising(_work(small, percent, block), known, percent), "promising")
+        split = stored(_apart(large, known, components(first, "a", "b")), "apart")
+        # Members outside the main component meet each other here, and the main component below.
+        work = work.unionByName(_work(split.filter("outside").select("key", "mark", "size"), percent, block))
+    groups = stored(_promising(work, known, percent), "promising")
     work = _work(groups, percent, block).withColumn("other", F.lit(False))
-    links = search(work if across is None else work.unionByName(across), "links")
-    discard(groups, cells, large)
-    if across is None:
+    if split is not None:
+        by_main = split.select(F.col("main").alias("key"), "mark", "size", "outside").distinct()
+        work = work.unionByName(_across(by_main.filter("outside"), by_main.filter("NOT outside"), percent, block))
+    links = search(work, "links")
+    discard(groups, cells)
+    if split is None:
         reached = components(links, "a", "b")
     else:
         reached = components(links.unionByName(first), "a", "b")
-        discard(alone, others, members, first)
-    discard(links)
+        discard(split, first)
+    discard(links, known)
     # Of rows with equal sets the smallest id is their node.
     nodes = sets.filter(F.col("n_shingles") > 0).groupBy("content").agg(F.min("id").alias("node"))
     known = lookup_join(sets.select("id", "n_shingles", "content"), nodes, ["content"], "left")
